@@ -1,0 +1,68 @@
+"""Splitting of groups that are too large for one task.
+
+Adaptive execution splits skewed joins but not windows, so a window over a key needs its heavy keys
+cut into slices first. A heavy key holds more than ``1 / max_heavy`` of all rows. There can be at
+most ``max_heavy`` such keys, and at most ``2 * max_heavy`` slices over all of them, which is the
+size bound behind every broadcast in this module.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidepool.session import stage_table
+
+
+@dataclass(frozen=True)
+class SplitPolicy:
+    comfortable_rows: int = 2_000_000
+    max_heavy: int = 10_000
+    grid: int = 500
+
+
+DEFAULT_POLICY = SplitPolicy()
+
+
+@dataclass(frozen=True)
+class SlicedRows:
+    """Rows with a ``slice`` column: 0 for ordinary keys, 1, 2, ... along the order of heavy keys."""
+
+    rows: DataFrame
+    has_heavy: bool
+
+
+def slice_heavy(df: DataFrame, key: str, along: str, policy: SplitPolicy = DEFAULT_POLICY) -> SlicedRows:
+    """Cut heavy keys into ranges of ``along``. Rows with equal ``along`` stay in one slice."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
+    shape = counts.agg(F.sum("key_rows").alias("total"), F.max("key_rows").alias("largest")).first()
+    limit = max(policy.comfortable_rows, (shape.total or 0) // policy.max_heavy)
+    if (shape.largest or 0) <= limit:
+        return SlicedRows(df.withColumn("slice", F.lit(0)), False)
+
+    heavy = stage_table(counts.where(F.col("key_rows") > limit), "heavy-keys")
+    grid = [i / policy.grid for i in range(1, policy.grid)]
+    wanted = F.ceil(F.first("key_rows") / F.lit(limit))
+    step = F.greatest(F.lit(1), F.floor(F.lit(policy.grid) / wanted))
+    cuts = (
+        df.select(key, along)
+        .join(F.broadcast(heavy), key)
+        .groupBy(key)
+        .agg(F.percentile_approx(along, grid, 10_000).alias("marks"), step.alias("step"))
+        .select(key, F.expr("array_distinct(filter(marks, (mark, i) -> (i + 1) % step = 0))").alias("cuts"))
+    )
+    rows = (
+        df.join(F.broadcast(stage_table(cuts, "slice-cuts")), key, "left")
+        .withColumn("slice", F.expr(f"coalesce(1 + size(filter(cuts, cut -> cut < `{along}`)), 0)"))
+        .drop("cuts")
+    )
+    return SlicedRows(rows, True)
+
+
+def slice_starts(sliced: SlicedRows, key: str) -> DataFrame:
+    """Rows of the same key before each slice of a heavy key; at most ``2 * max_heavy`` rows."""
+    sizes = sliced.rows.where("slice > 0").groupBy(key, "slice").agg(F.count(F.lit(1)).alias("slice_rows"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(key, "slice", F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("rows_before"))
