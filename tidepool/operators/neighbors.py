@@ -33,7 +33,7 @@ def _dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows as a matrix; accepts dense lists and structs of index and weight lists."""
     flat = column.combine_chunks()
     if pa.types.is_struct(flat.type):
-        idx, w = flat.field("idx"), flat.field("w")
+        idx, w = flat.flatten()
         matrix = np.zeros((len(flat), width))
         rows = np.repeat(np.arange(len(flat)), idx.value_lengths().to_numpy())
         matrix[rows, idx.flatten().to_numpy()] = w.flatten().to_numpy()

@@ -112,8 +112,7 @@ def svd_item_vectors(item_terms: DataFrame, vocab: DataFrame, dimensions: int =
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            entries = batch.column("vec")
-            idx, w = entries.field("idx"), entries.field("w")
+            idx, w = batch.column("vec").flatten()
             starts = np.concatenate(([0], np.cumsum(idx.value_lengths().to_numpy())[:-1]))
             products = basis[idx.flatten().to_numpy()] * w.flatten().to_numpy()[:, None]
             dense = np.add.reduceat(products, starts, axis=0)
