@@ -42,9 +42,14 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def unit_vector(vector: Column) -> Column:
-    """L2-normalised array; the zero vector stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+    """L2-normalised array; the zero vector stays zero.
+
+    The norm is bound as a lambda variable: written inside the inner lambda it would be recomputed for
+    every element.
+    """
+    norms = F.array(F.sqrt(dot(vector, vector)))
+    scaled = F.transform(norms, lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector))
+    return F.element_at(scaled, 1)
 
 
 def angular_score(cosine: Column) -> Column:

@@ -25,7 +25,11 @@ from tidepool.session import stage_table
 DIGITS = 6
 _REQUEST, _CANDIDATE, _EXCLUDED = 0, 1, 2
 _TILE_BYTES = 32 << 20
-_SLICE_CELLS = 2 << 20
+_SLICE_CELLS = 1 << 18  # keeps a slice of scores in the processor's cache
+_TILES_PER_CORE = 4
+_LEAST_TILE_ROWS = 256
+_MOST_PARTITIONS = 100_000
+_EXACT_INTEGERS = 2.0**53
 _SIGNATURE_BITS = 60
 
 
@@ -68,21 +72,28 @@ def _tile_kernel(n: int, width: int, digits: int, drop_self: bool, positive_only
                 skip_col = np.concatenate((skip_col, own[own >= 0]))
             by_row = np.argsort(skip_row, kind="stable")
             skip_row, skip_col = skip_row[by_row], skip_col[by_row]
-            never = np.iinfo(np.int64).min
+            place = np.arange(m, dtype=np.float64)
+            largest = np.sqrt((left**2).sum(axis=1).max() * (right**2).sum(axis=0).max())
+            packed = (largest * scale + 1) * m < _EXACT_INTEGERS
             step = max(1, _SLICE_CELLS // m)
             for start in range(0, len(keys), step):
                 scores = left[start : start + step] @ right
-                rounded = np.rint(scores * scale).astype(np.int64)
-                # Candidates are in id order, so this ranks by rounded score and then by id.
-                order = rounded * m - np.arange(m)
-                if positive_only:
-                    order[rounded <= 0] = never
+                order = scores * scale
+                np.rint(order, out=order)
+                if packed:  # one exact number per cell: rounded score, then place in id order
+                    order *= m
+                    order -= place
                 low, high = np.searchsorted(skip_row, [start, start + len(scores)])
-                order[skip_row[low:high] - start, skip_col[low:high]] = never
-                cols = np.argpartition(order, m - keep, axis=1)[:, m - keep :]
+                order[skip_row[low:high] - start, skip_col[low:high]] = -np.inf
+                if packed:
+                    cols = np.argpartition(order, m - keep, axis=1)[:, m - keep :]
+                else:
+                    cols = np.argsort(-order, axis=1, kind="stable")[:, :keep]
                 rows = np.repeat(np.arange(len(scores)), keep)
                 cols = cols.ravel()
-                valid = order[rows, cols] != never
+                valid = order[rows, cols] != -np.inf
+                if positive_only:  # the best come first, so dropping here loses nothing
+                    valid &= np.rint(scores[rows, cols] * scale) > 0
                 rows, cols = rows[valid], cols[valid]
                 out_keys.append(rows + start)
                 out_items.append(cols)
@@ -108,6 +119,10 @@ def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
+def _blocks(rows: int, block_rows: float) -> int:
+    return max(1, math.ceil(rows / block_rows))
+
+
 def _every_block(blocks: int):
     return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
@@ -136,10 +151,12 @@ def best_matches(
     spark = requests.sparkSession
     tile_rows = max(256, min(16_384, _TILE_BYTES // (8 * max(1, width))))
     n_requests, n_candidates = requests.count(), candidates.count()
-    cand_blocks = max(1, math.ceil(n_candidates / tile_rows))
-    # With few tiles, cut the requests finer so that every core has work.
-    spread = math.ceil(2 * spark.sparkContext.defaultParallelism / cand_blocks)
-    req_blocks = max(1, math.ceil(n_requests / tile_rows), min(spread, math.ceil(n_requests / 256)))
+    req_blocks, cand_blocks = _blocks(n_requests, tile_rows), _blocks(n_candidates, tile_rows)
+    wanted = _TILES_PER_CORE * spark.sparkContext.defaultParallelism
+    if req_blocks * cand_blocks < wanted:  # small input: cut finer, in squares, so that every core has work
+        side = math.sqrt(max(1, n_requests) * max(1, n_candidates) / wanted)
+        req_blocks = max(req_blocks, _blocks(n_requests, max(_LEAST_TILE_ROWS, side)))
+        cand_blocks = max(cand_blocks, _blocks(n_candidates, max(_LEAST_TILE_ROWS, side)))
 
     key_type, item_type = _type(requests, "key"), _type(candidates, "item")
     no_key, no_item = F.lit(None).cast(key_type).alias("key"), F.lit(None).cast(item_type).alias("item")
@@ -161,6 +178,8 @@ def best_matches(
             )
         )
     kernel = _tile_kernel(n, width, digits, drop_self, positive_only)
+    # A tile is little data but much work, so the number of partitions is set here, not by data size.
+    rows = rows.repartition(min(_MOST_PARTITIONS, req_blocks * cand_blocks), "rb", "cb")
     tops = rows.groupBy("rb", "cb").applyInArrow(kernel, f"key {key_type}, item {item_type}, score double")
     return top_n(tops, ["key"], score_order("score", "item", digits), n)
 
@@ -284,7 +303,15 @@ def knn_forest(vectors: DataFrame, n: int, trees: int = 16, leaf_rows: int = 512
     kernel = _tile_kernel(n, width, DIGITS, drop_self=True, positive_only=False)
     found = req.unionByName(cand).groupBy(*cell, "rb", "cb").applyInArrow(kernel, f"key {rep_type}, item {rep_type}, score double")
     best = found.groupBy("key", "item").agg(F.max("score").alias("score"))
-    rep_lists = top_n(best, ["key"], score_order("score", "item", DIGITS), n)
+    rep_lists = stage_table(top_n(best, ["key"], score_order("score", "item", DIGITS), n), "forest-lists")
+    # A vector that met too few others in its leaves is searched exactly, so that every list is full.
+    complete = rep_lists.groupBy("key").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= min(n, n_reps - 1))
+    alone = stage_table(distinct.join(complete, distinct.rep == complete.key, "left_anti"), "forest-alone")
+    if n_reps > 1 and not alone.isEmpty():
+        exact = best_matches(
+            alone.select(F.col("rep").alias("key"), "vec"), distinct.select(F.col("rep").alias("item"), "vec"), n, width, drop_self=True
+        )
+        rep_lists = rep_lists.join(alone, rep_lists.key == alone.rep, "left_anti").unionByName(exact)
     return expand_copies(rep_lists, members, distinct, n)
 
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -72,19 +71,20 @@ def sparse_rows(weights: DataFrame) -> DataFrame:
     return grouped.select("item_id", F.struct(F.col("e.idx").alias("idx"), F.col("e.weight").alias("w")).alias("vec"))
 
 
-def _right_singular_vectors(weights_by_item: DataFrame, vocab: DataFrame, k: int):
-    """Singular values and the terms x k matrix V. Both stay small: terms <= 5000, k <= 100."""
+def _right_singular_vectors(term_lists: DataFrame, vocab: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and the terms x k matrix V of the unit TF-IDF rows.
+
+    MLlib sums the terms x terms Gram matrix in one pass over sparse rows; its size is set by the
+    vocabulary (at most 5000), not by the data, so its eigenvectors are taken on the driver.
+    """
     terms = vocab.orderBy("idx").select("term", "idf").collect()
     counted = CountVectorizerModel.from_vocabulary([t.term for t in terms], inputCol="terms", outputCol="tf")
     weighted = ElementwiseProduct(scalingVec=Vectors.dense([t.idf for t in terms]), inputCol="tf", outputCol="raw")
     unit = Normalizer(p=2.0, inputCol="raw", outputCol="vec")
-    vectors = unit.transform(weighted.transform(counted.transform(weights_by_item))).select("vec")
-    rows = MLUtils.convertVectorColumnsFromML(vectors, "vec").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        svd = RowMatrix(rows).computeSVD(k, computeU=False)
-        return svd.s.toArray(), svd.V.toArray()
-    finally:
-        rows.unpersist()
+    vectors = unit.transform(weighted.transform(counted.transform(term_lists))).select("vec")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vec"), numCols=len(terms)).computeGramianMatrix().toArray()
+    values, basis = np.linalg.eigh(gram)
+    return np.sqrt(np.maximum(values[::-1][:k], 0.0)), basis[:, ::-1][:, :k]
 
 
 def svd_item_vectors(item_terms: DataFrame, vocab: DataFrame, dimensions: int = MAX_DIMENSIONS) -> tuple[DataFrame, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -25,10 +26,15 @@ def combined(*parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in df.schema)
+
+
 class ArtifactStore:
     """Components under one folder, on any file system Spark can reach.
 
-    A component's manifest is written after its data, so a job that died in between is recomputed.
+    Every save writes a new version folder and then the manifest that names it. A job that died in
+    between is recomputed, and a model that is open elsewhere keeps reading the version it opened.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -50,21 +56,24 @@ class ArtifactStore:
             return None
         return json.loads(row.value) if row else None
 
+    def _open(self, record: dict) -> DataFrame:
+        return self.spark.read.schema(record["schema"]).parquet(self._path(record["version"]))
+
     def read(self, name: str) -> DataFrame | None:
         """The saved component, or None if it was never completed."""
-        if self.read_record(name) is None:
-            return None
-        return self.spark.read.parquet(self._path(name))
+        record = self.read_record(name)
+        return None if record is None else self._open(record)
 
     def save(self, name: str, df: DataFrame, print_: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(name))
-        self.write_record(name, {"fingerprint": print_, "schema": df.schema.simpleString()})
-        return self.spark.read.schema(df.schema).parquet(self._path(name))
+        record = {"fingerprint": print_, "schema": _ddl(df), "version": f"{name}/{uuid.uuid4().hex}"}
+        df.write.parquet(self._path(record["version"]))
+        self.write_record(name, record)
+        return self._open(record)
 
     def stage(self, name: str, print_: str, compute: Callable[[], DataFrame], reuse: bool) -> DataFrame:
         """The saved component if its fingerprint matches, else the computed one, saved."""
         record = self.read_record(name) if reuse else None
         if record is not None and record["fingerprint"] == print_:
             self.reused.append(name)
-            return self.spark.read.parquet(self._path(name))
+            return self._open(record)
         return self.save(name, compute(), print_)
