@@ -118,7 +118,7 @@ def _model(spark: SparkSession, d: str, events: DataFrame) -> Model:
     tables = {
         "user_index": users, "item_index": items, "matrix": matrix,
         "user_factors": user_factors, "item_factors": item_factors,
-        "sequences": stage_table(seq.user_sequences(events), "sequences"),
+        "recent_items": stage_table(seq.recent_items(events, RECENT_ITEMS), "recent-items"),
         "transitions": stage_table(seq.transition_probs(seq.transition_counts(events)), "transitions"),
         "item_vectors": stage_table(vectors, "item-vectors"),
         "item_categories": prop.item_categories(latest),
@@ -128,7 +128,7 @@ def _model(spark: SparkSession, d: str, events: DataFrame) -> Model:
 
 
 def _sequential(events: DataFrame, n: int = 10) -> DataFrame:
-    probs = seq.transition_probs(seq.transition_counts(events))
+    probs = stage_table(seq.transition_probs(seq.transition_counts(events)), "transitions")
     return rec.sequential_lists(seq.last_items(events), probs, n)
 
 
@@ -420,7 +420,7 @@ def _judge_sequential(spark, d, train: Callable[[DataFrame], DataFrame], count_e
 
     def lists(requests: DataFrame, k: int) -> DataFrame:
         asked = seen.join(requests, "user_id", "left_semi")
-        probs = seq.transition_probs(seq.transition_counts(seen))
+        probs = stage_table(seq.transition_probs(seq.transition_counts(seen)), "transitions")
         return rec.sequential_lists(seq.last_items(asked), probs, k)
 
     return _metrics(ev.evaluate_lists(lists, events, users, items, count_empty=count_empty))

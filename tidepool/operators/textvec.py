@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.mllib.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidepool.config import MAX_DIMENSIONS, MAX_TERMS
 from tidepool.functions.scalars import property_phrase, tokens, unit_vector
@@ -71,18 +70,20 @@ def sparse_rows(weights: DataFrame) -> DataFrame:
     return grouped.select("item_id", F.struct(F.col("e.idx").alias("idx"), F.col("e.weight").alias("w")).alias("vec"))
 
 
-def _right_singular_vectors(term_lists: DataFrame, vocab: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and the terms x k matrix V of the unit TF-IDF rows.
+def _right_singular_vectors(rows: DataFrame, n_terms: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and the terms x k matrix V of the sparse unit rows.
 
-    MLlib sums the terms x terms Gram matrix in one pass over sparse rows; its size is set by the
-    vocabulary (at most 5000), not by the data, so its eigenvectors are taken on the driver.
+    MLlib sums the terms x terms Gram matrix in one pass; its size is set by the vocabulary (at most
+    5000 terms), not by the data, so its eigenvectors are taken on the driver. A sparse MLlib vector is
+    stored as a struct of type 0, size, indices and values: written in that form, it is read as one.
     """
-    terms = vocab.orderBy("idx").select("term", "idf").collect()
-    counted = CountVectorizerModel.from_vocabulary([t.term for t in terms], inputCol="terms", outputCol="tf")
-    weighted = ElementwiseProduct(scalingVec=Vectors.dense([t.idf for t in terms]), inputCol="tf", outputCol="raw")
-    unit = Normalizer(p=2.0, inputCol="raw", outputCol="vec")
-    vectors = unit.transform(weighted.transform(counted.transform(term_lists))).select("vec")
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vec"), numCols=len(terms)).computeGramianMatrix().toArray()
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(n_terms).alias("size"),
+        F.col("vec.idx").alias("indices"), F.col("vec.w").alias("values"),
+    )
+    schema = StructType([StructField("vec", VectorUDT())])
+    vectors = stage_table(rows.select(stored.alias("vec")), "sparse-vectors", schema)
+    gram = RowMatrix(vectors, numCols=n_terms).computeGramianMatrix().toArray()
     values, basis = np.linalg.eigh(gram)
     return np.sqrt(np.maximum(values[::-1][:k], 0.0)), basis[:, ::-1][:, :k]
 
@@ -95,16 +96,14 @@ def svd_item_vectors(item_terms: DataFrame, vocab: DataFrame, dimensions: int =
     token; items without a vocabulary term get no vector.
     """
     vocab = stage_table(vocab, "vocabulary")
-    counts = stage_table(term_counts(item_terms).join(F.broadcast(vocab.select("term")), "term", "left_semi"), "vocabulary-counts")
+    counts = term_counts(item_terms)
     n_terms = vocab.count()
     if n_terms == 0:
         empty = counts.select("item_id", F.array().cast("array<double>").alias("vec")).limit(0)
         return empty, np.zeros(0)
     k = min(dimensions, n_terms - 1) if n_terms > 1 else 1
-    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int"))))
-    sigma, v = _right_singular_vectors(counts.groupBy("item_id").agg(repeated.alias("terms")).select("terms"), vocab, k)
-
-    rows = sparse_rows(tfidf_vectors(counts, vocab))
+    rows = stage_table(sparse_rows(tfidf_vectors(counts, vocab)), "tfidf-rows")
+    sigma, v = _right_singular_vectors(rows, n_terms, k)
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,18 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.config import NEIGHBORS_PER_RECENT, RECENT_ITEMS, Params
+from tidepool.config import NEIGHBORS_PER_RECENT, Params
 from tidepool.functions.scalars import unit_vector
 from tidepool.operators.interactions import known_only
 from tidepool.operators.neighbors import best_matches, knn_exact, knn_forest
-from tidepool.operators.ranking import top_n
 from tidepool.plans import recommend as rec
 from tidepool.plans.evaluate import evaluate_lists
 from tidepool.plans.reports import category_performance, explain_lists, plain_lists, user_reports
 from tidepool.session import stage_table
 
 COMPONENTS = (
-    "user_index", "item_index", "matrix", "sequences", "latest_properties", "item_texts", "item_categories",
+    "user_index", "item_index", "matrix", "sequences", "recent_items", "latest_properties", "item_texts", "item_categories",
     "vocabulary", "item_vectors", "category_nodes", "category_similarity", "user_factors", "item_factors", "transitions",
 )
 
@@ -59,21 +58,20 @@ class Model:
         return rec.cf_lists(t["user_factors"], t["item_factors"], t["matrix"], users, n, self.params.factors)
 
     def _recent(self, users: DataFrame) -> DataFrame:
-        history = self.tables["sequences"].join(users, "user_id", "left_semi")
-        return top_n(history, ["user_id"], [F.col("pos").desc()], RECENT_ITEMS, rank="recency")
+        """Newest items of the asked users: at most a handful of rows per user, however busy."""
+        return self.tables["recent_items"].join(users, "user_id", "left_semi")
 
     def _content(self, users: DataFrame, n: int) -> DataFrame:
-        if not self.has("item_vectors", "sequences"):
+        if not self.has("item_vectors", "recent_items"):
             return self._nothing()
         recent = stage_table(self._recent(users), "recent-items")
         neighbors = stage_table(self.item_neighbors(recent.select("item_id"), NEIGHBORS_PER_RECENT), "recent-neighbors")
         return rec.content_lists(recent, neighbors, n)
 
     def _sequential(self, users: DataFrame, n: int) -> DataFrame:
-        if not self.has("transitions", "sequences"):
+        if not self.has("transitions", "recent_items"):
             return self._nothing()
-        history = self.tables["sequences"].join(users, "user_id", "left_semi")
-        last = history.groupBy("user_id").agg(F.max_by("item_id", "pos").alias("item_id"))
+        last = self._recent(users).where("recency = 1").select("user_id", "item_id")
         return rec.sequential_lists(last, self.tables["transitions"], n)
 
     # --- items -------------------------------------------------------------------------------

@@ -63,6 +63,7 @@ def sequential_lists(last: DataFrame, probs: DataFrame, n: int) -> DataFrame:
     """Most probable followers of each user's last item.
 
     Lists are ranked once per item, not once per user: the user only looks up the list of the last item.
+    Pass ``probs`` as a table: then the ranking prunes a popular item in the scan tasks.
     """
     followers = stage_table(likeliest_next(probs, n), "likeliest-next")
     listed = last.withColumnRenamed("item_id", "cur").join(followers, "cur")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.config import MAX_DIMENSIONS, Params
+from tidepool.config import MAX_DIMENSIONS, RECENT_ITEMS, Params
 from tidepool.operators import categories as cat
 from tidepool.operators import factors as fac
 from tidepool.operators import interactions as inter
@@ -15,8 +15,6 @@ from tidepool.operators import textvec
 from tidepool.plans.model import COMPONENTS, Model
 from tidepool.sources.artifacts import ArtifactStore, combined, fingerprint
 
-SIMPLE_COMPONENTS = ("user_index", "item_index", "matrix", "user_factors", "item_factors")
-
 
 class Trainer:
     """Computes each component once, saves it, and reuses it only if its inputs and parameters match."""
@@ -44,6 +42,7 @@ class Trainer:
         if simple:
             return
         self._stage("sequences", combined("sequences", self._events_print), lambda: seq.user_sequences(events))
+        self._stage("recent_items", combined("recent", self._events_print), lambda: seq.recent_items(events, RECENT_ITEMS))
         if properties is not None:
             self._item_features(properties)
         if tree is not None:

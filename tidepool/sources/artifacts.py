@@ -46,8 +46,8 @@ class ArtifactStore:
         return f"{self.folder}/{name}"
 
     def write_record(self, name: str, record: dict) -> None:
-        row = self.spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(self._path(f"{name}.manifest"))
+        row = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(record, sort_keys=True)).alias("value"))
+        row.write.mode("overwrite").text(self._path(f"{name}.manifest"))
 
     def read_record(self, name: str) -> dict | None:
         try:
