@@ -65,6 +65,11 @@ def test_leave_one_out_keeps_copies_of_the_last_event(events):
     assert rows(ev.holdout_last_event(log)) == [(1, B, 4), (3, C, 2)]
 
 
+def test_leave_one_out_with_a_missing_event_type(events):
+    log = events([(1, A, "view", 1), (1, B, None, 2)])
+    assert rows(ev.leave_one_out(log).select("user_id", "item_id")) == [(1, A)]
+
+
 def test_many_copies_are_restored_in_blocks(events, monkeypatch):
     monkeypatch.setattr(ev, "_COPIES_PER_STEP", 4)
     log = events([(1, A, "view", 1)] * 14)

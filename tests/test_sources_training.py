@@ -155,6 +155,13 @@ def test_hybrid_is_the_blend_of_its_legs(inputs, trained):
         assert r.score == pytest.approx(total[r.user_id, r.item_id])
 
 
+def test_single_ids_and_unknown_ids(trained):
+    model = trained[1]
+    assert rows(model.recommend_for_user(3, 4)) == rows(model.recommend(model.tables["user_index"], 4).where("user_id = 3"))
+    assert model.get_similar_items(5, 4, "cf").count() == 4 and model.get_item_neighbors(5, 3).count() == 3
+    assert model.recommend_for_user(-1).count() == 0 and model.get_similar_items(-1).count() == 0
+
+
 def test_forest_search_in_a_model(spark, inputs, trained):
     import dataclasses
 
@@ -183,6 +190,7 @@ def test_cf_cannot_hit_in_sample_but_can_when_held_out(spark, inputs, trained, t
     assert held_out.evaluate(log, 10, method="cf").first().hits > 0
     assert held_out.recommend(log.select("user_id"), 3, "content").count() == 0
     assert held_out.recommend(log.select("user_id"), 3).count() == 120
+    assert held_out.get_item_neighbors(5).count() == 0 and held_out.category_performance(log).count() == 0
 
 
 def test_loss_falls_and_matches_the_full_sum(spark, inputs):

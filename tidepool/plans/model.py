@@ -33,6 +33,20 @@ class Model:
     def has(self, *names: str) -> bool:
         return all(name in self.tables for name in names)
 
+    # --- single ids: one-row requests ----------------------------------------------------------
+
+    def _one(self, key: str, value) -> DataFrame:
+        return self.tables[key.replace("_id", "_index")].where(F.col(key) == F.lit(value)).select(key)
+
+    def recommend_for_user(self, user_id, n: int = 10, method: str = "hybrid") -> DataFrame:
+        return self.recommend(self._one("user_id", user_id), n, method)
+
+    def get_similar_items(self, item_id, n: int = 10, method: str = "hybrid") -> DataFrame:
+        return self.similar_items(self._one("item_id", item_id), n, method)
+
+    def get_item_neighbors(self, item_id, n: int = 10) -> DataFrame:
+        return self.item_neighbors(self._one("item_id", item_id), n)
+
     # --- users -------------------------------------------------------------------------------
 
     def recommend(self, requests: DataFrame, n: int = 10, method: str = "hybrid") -> DataFrame:
@@ -78,6 +92,8 @@ class Model:
 
     def item_neighbors(self, requests: DataFrame, n: int = 10) -> DataFrame:
         """``<item_id, neighbor_id, score, rank>`` by content; unknown items get no rows."""
+        if not self.has("item_vectors"):
+            return self._nothing().select("item_id", F.col("item_id").alias("neighbor_id"), "score", "rank")
         vectors = self.tables["item_vectors"]
         if self.params.neighbor_search == "forest":
             return knn_forest(vectors, n).join(requests.select("item_id").distinct(), "item_id", "left_semi")
@@ -128,7 +144,9 @@ class Model:
         return user_reports(requests, self.explain(requests, n, reasons), n)
 
     def category_performance(self, events: DataFrame, top: int | None = 10) -> DataFrame:
-        return category_performance(events, self.tables["item_categories"], top)
+        """Funnel of the top categories; no rows if the model has no item categories."""
+        none = self.tables["item_index"].select("item_id", F.lit("").alias("category")).limit(0)
+        return category_performance(events, self.tables.get("item_categories", none), top)
 
     def evaluate(
         self, events: DataFrame, k: int = 10, n_users: int = 1000, method: str = "hybrid", count_empty: bool = False
