@@ -100,12 +100,27 @@ def test_forest_recall_with_small_leaves(spark):
     assert found.groupBy("item_id").count().where("count <> 10").count() == 0
 
 
-def test_full_leaves_are_cut_into_tiles(spark):
-    """All vectors in nearly one direction: hashing cannot part them, tiling must."""
-    matrix = np.ones((600, WIDTH)) + 1e-9 * np.random.default_rng(4).standard_normal((600, WIDTH))
-    df = normalize_vectors(_frame(spark, matrix))
-    found = near.knn_forest(df, 3, trees=2, leaf_rows=16)
-    assert found.groupBy("item_id").count().where("count = 3").count() == 600
+def _dense_cluster(spark):
+    """A third of the vectors lie far from the mean and almost in one direction."""
+    draw = np.random.default_rng(4)
+    matrix = draw.standard_normal((1200, WIDTH))
+    matrix[:400] = 5 + 1e-3 * draw.standard_normal((400, WIDTH))
+    return normalize_vectors(_frame(spark, matrix))
+
+
+def test_dense_cluster_is_split_like_anything_else(spark):
+    distinct = _dense_cluster(spark).withColumnRenamed("item_id", "rep")
+    leaves = near._grow_forest(distinct, 1200, WIDTH, 3, 20, 1)
+    assert leaves.groupBy("tree").agg(F.countDistinct("rep").alias("n"), F.count("*").alias("m")).select("n", "m").distinct().collect() == [(1200, 1200)]
+    assert leaves.groupBy("tree", "depth", "leaf").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_leaves_that_stay_full_are_tiled(spark, monkeypatch):
+    monkeypatch.setattr(near, "_SPLIT_ROUNDS", 0)
+    df = _dense_cluster(spark)
+    exact = near.knn_exact(df, 3, WIDTH)
+    found = near.knn_forest(df, 3, trees=1, leaf_rows=16)
+    assert rows(found.select("item_id", "neighbor_id", "rank")) == rows(exact.select("item_id", "neighbor_id", "rank"))
 
 
 def test_angular(spark, unit):

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,8 @@ _TILES_PER_CORE = 4
 _LEAST_TILE_ROWS = 256
 _MOST_PARTITIONS = 100_000
 _EXACT_INTEGERS = 2.0**53
-_SIGNATURE_BITS = 60
+_BITS_PER_ROUND = 8
+_SPLIT_ROUNDS = 7  # leaf paths of 7 x 8 bits fit into a bigint
 
 
 def _dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -230,59 +230,77 @@ def knn_exact(vectors: DataFrame, n: int, width: int, requests: DataFrame | None
     return found.select(F.col("key").alias("item_id"), F.col("item").alias("neighbor_id"), "score", "rank")
 
 
-def _signatures(distinct: DataFrame, trees: int, seed: int) -> DataFrame:
-    """``<rep, tree, sig>``: 60 sign bits per tree, each from a random hyperplane through the mean."""
-    first = distinct.select(F.size("vec").alias("d")).first()
-    width = first.d if first else 1
-    mean_row = distinct.select(Summarizer.mean(array_to_vector("vec")).alias("m")).first() if first else None
-    mean = mean_row.m.toArray() if mean_row and mean_row.m is not None else np.zeros(width)
-    planes = np.random.default_rng(seed).standard_normal((width, trees * _SIGNATURE_BITS))
-    shared = distinct.sparkSession.sparkContext.broadcast((planes, mean @ planes))
-    powers = 1 << np.arange(_SIGNATURE_BITS - 1, -1, -1, dtype=np.int64)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions, offset = shared.value
+def _projections(rows: DataFrame, directions: np.ndarray) -> DataFrame:
+    """Adds ``p``, the products of ``vec`` with the directions of the row's tree, and drops ``vec``."""
+    shared = rows.sparkSession.sparkContext.broadcast(directions)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_tree = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
-            bits = (rows @ directions > offset).reshape(batch.num_rows, trees, _SIGNATURE_BITS)
-            sigs = (bits * powers).sum(axis=2)
-            offsets = pa.array(np.arange(0, sigs.size + 1, trees, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(sigs.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], ["rep", "sigs"])
-
-    signed = distinct.mapInArrow(sign, f"rep {_type(distinct, 'rep')}, sigs array<bigint>")
-    return signed.select("rep", F.posexplode("sigs").alias("tree", "sig"))
-
-
-def _leaves(signed: DataFrame, n_reps: int, leaf_rows: int) -> DataFrame:
-    """``<rep, tree, depth, leaf, parts>``: signature prefixes just long enough to hold ``leaf_rows``.
-
-    A bucket that is too full at the common depth takes more bits in proportion to its size; a leaf
-    that is still too full is cut into ``parts`` blocks, which the search pairs up in tiles.
+            vectors = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
+            trees = batch.column("tree").to_numpy()
+            products = np.empty((batch.num_rows, _BITS_PER_ROUND))
+            for tree in np.unique(trees):
+                products[trees == tree] = vectors[trees == tree] @ of_tree[tree]
+            offsets = pa.array(np.arange(0, products.size + 1, _BITS_PER_ROUND, dtype=np.int32))
+            p = pa.ListArray.from_arrays(offsets, pa.array(products.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "tree", "leaf", "need")] + [p], ["rep", "tree", "leaf", "need", "p"])
+
+    schema = f"rep {_type(rows, 'rep')}, tree int, leaf bigint, need int, p array<double>"
+    return rows.select("rep", "tree", "leaf", "need", "vec").mapInArrow(project, schema)
+
+
+def _grow_forest(distinct: DataFrame, n_reps: int, width: int, trees: int, leaf_rows: int, seed: int) -> DataFrame:
+    """``<rep, tree, depth, leaf, parts>``: the leaf of every vector in every tree.
+
+    A round splits each leaf that is too full by as many bits as its size asks for (at most 8). A bit is
+    the side of a random hyperplane through the mean of that leaf, so a dense cluster, wherever it lies,
+    is halved like anything else. All leaves and trees of a round are split in one job; rows whose leaf
+    is small enough take no part in later rounds. What is still too full after the last round is cut
+    into ``parts`` blocks that the search pairs up in tiles.
     """
-    depth = max(0, math.ceil(math.log2(max(1.0, n_reps / leaf_rows))))
-    depth = min(depth, _SIGNATURE_BITS)
-    coarse = signed.withColumn("bucket", F.shiftright("sig", _SIGNATURE_BITS - depth))
-    sizes = stage_table(coarse.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
-    more = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.lit(leaf_rows))).cast("int"))
-    deep = F.least(F.lit(_SIGNATURE_BITS), F.lit(depth) + more)
-    fine = (
-        coarse.join(sizes, ["tree", "bucket"])
-        .withColumn("depth", deep)
-        .select("rep", "tree", "depth", F.expr(f"shiftright(sig, {_SIGNATURE_BITS} - depth)").alias("leaf"))
-    )
-    fine = stage_table(fine, "leaf-rows")
-    full = stage_table(fine.groupBy("tree", "depth", "leaf").agg(F.count(F.lit(1)).alias("size")), "leaf-sizes")
-    parts = F.ceil(F.col("size") / F.lit(4 * leaf_rows)).cast("int")
-    return fine.join(full, ["tree", "depth", "leaf"]).select("rep", "tree", "depth", "leaf", parts.alias("parts"))
+    each_tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    rows = distinct.select("rep", each_tree.alias("tree"), F.lit(0).cast("long").alias("leaf"))
+    grown: list[DataFrame] = []
+
+    def settled(df: DataFrame, depth: int) -> DataFrame:
+        parts = F.ceil(F.col("size") / F.lit(4 * leaf_rows)).cast("int").alias("parts")
+        return df.select("rep", "tree", F.lit(depth).alias("depth"), "leaf", parts)
+
+    for depth in range(_SPLIT_ROUNDS + 1):
+        if depth:
+            sizes = rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
+            sized = rows.join(stage_table(sizes, "leaf-sizes"), ["tree", "leaf"])
+        else:
+            sized = rows.withColumn("size", F.lit(n_reps))
+        full = F.col("size") > 2 * leaf_rows
+        if depth == _SPLIT_ROUNDS or n_reps <= 2 * leaf_rows:
+            grown.append(settled(sized, depth))
+            break
+        if depth:
+            grown.append(settled(sized.where(~full), depth))
+        need = F.least(F.lit(_BITS_PER_ROUND), F.ceil(F.log2(F.col("size") / F.lit(leaf_rows))).cast("int"))
+        open_rows = sized.where(full).withColumn("need", need).join(distinct, "rep")
+        directions = np.random.default_rng([seed, depth]).standard_normal((trees, width, _BITS_PER_ROUND))
+        projected = stage_table(_projections(open_rows, directions), "projections")
+        if projected.isEmpty():
+            break
+        means = projected.groupBy("tree", "leaf").agg(F.array(*[F.avg(F.col("p")[i]) for i in range(_BITS_PER_ROUND)]).alias("m"))
+        child = F.expr(
+            f"aggregate(sequence(0, need - 1), leaf * {1 << _BITS_PER_ROUND}L, "
+            "(path, i) -> path + if(p[i] > m[i], shiftleft(1L, i), 0L))"
+        )
+        rows = projected.join(stage_table(means, "leaf-means"), ["tree", "leaf"]).select("rep", "tree", child.alias("leaf"))
+        rows = stage_table(rows, "forest-rows")
+    return reduce(DataFrame.unionByName, grown)
 
 
 def knn_forest(vectors: DataFrame, n: int, trees: int = 16, leaf_rows: int = 512, seed: int = 42) -> DataFrame:
     """Approximate ``<item_id, neighbor_id, score, rank>`` for dense unit rows ``vectors<item_id, vec>``.
 
-    Every tree cuts space by random hyperplanes into leaves of about ``leaf_rows`` vectors; an item is
+    Every tree cuts the vectors by random hyperplanes into leaves of about ``leaf_rows``; an item is
     compared with the items it shares a leaf with in any tree, and scores are true cosines. Equal
     vectors are searched once and expanded at the end, since no hyperplane can part them. More trees
     or larger leaves raise recall.
@@ -291,7 +309,7 @@ def knn_forest(vectors: DataFrame, n: int, trees: int = 16, leaf_rows: int = 512
     n_reps = distinct.count()
     first = distinct.select(F.size("vec").alias("d")).first()
     width = first.d if first else 1
-    leaves = stage_table(_leaves(stage_table(_signatures(distinct, trees, seed), "signatures"), n_reps, leaf_rows), "leaves")
+    leaves = stage_table(_grow_forest(distinct, n_reps, width, trees, leaf_rows, seed), "leaves")
     placed = leaves.join(distinct, "rep")
     rep_type = _type(distinct, "rep")
     no_rep = F.lit(None).cast(rep_type)
