@@ -32,6 +32,14 @@ from tidepool.plans.model import Model  # noqa: E402
 from tidepool.session import stage_table  # noqa: E402
 from tidepool.sources import fixtures as fx  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from tidepool.llm import queries as llm
+except ModuleNotFoundError as missing:  # these operators are an optional part; any other missing module is an error
+    if missing.name not in ("corpus_pipeline", "tidepool.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 QUERY_FACTORS = 16
 QUERY_ITERATIONS = 5
@@ -474,7 +482,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    own = {query.__name__: query for query in _QUERIES}
+    return own if llm is None else own | llm.queries() | {"pipeline": corpus_pipeline.run}
 
 
 # --- SQL counterparts ---------------------------------------------------------------------------
@@ -667,6 +676,12 @@ _RATE = "printf('%.1f', {name} * 100) || '%'"
 
 
 def oracle_sql() -> dict[str, str]:
+    if llm is None:
+        return _own_sql()
+    return _own_sql() | llm.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
+def _own_sql() -> dict[str, str]:
     time = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
     weights = USER_LEG_WEIGHTS
     return {
