@@ -250,5 +250,6 @@ def drop_near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
     marked = docs.withColumn(name, F.coalesce(F.col(doc), F.lit(LAST)))
     kept = marked.join(stays, (F.col(name) == F.col(stay)) & (F.xxhash64(whole_text(text)) == F.col(body)))
     place = spare(kept, "place")
-    first = Window.partitionBy(name).orderBy(body)
+    # the keys of the join, so that texts are not shuffled again
+    first = Window.partitionBy(stay, body).orderBy(F.lit(0))
     return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
