@@ -28,6 +28,7 @@ from tidepool.session import stage_table
 DIMENSIONS = 4096
 SAMPLE = 600
 CENTROIDS = 4
+PARTS = 16
 ROUNDS = 8
 #: A text is rejected below this share of the least cosine that all but a hundredth of the training texts reach.
 MARGIN = 0.2
@@ -121,7 +122,10 @@ def train(docs: DataFrame, usable: Column, doc: str = "doc_id", text: str = "tex
 
     order = Window.partitionBy("lang").orderBy("h", "d")
     keys = known.select("lang", "d", F.xxhash64("t", "d").alias("h"))
-    few = stage_table(keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("d", "h").distinct(), "lang-sample")
+    # first within parts of each language, so that the last window meets at most PARTS * sample rows however many there are
+    within = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "d")
+    keys = keys.withColumn("place", F.row_number().over(within)).where(F.col("place") <= sample)
+    few = stage_table(keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("h").distinct(), "lang-sample")
 
     def fit(lang_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         good = [t for _, t in sorted(zip(rows["h"], rows["t"], strict=True))[:sample] if has_letter(t)]
@@ -132,7 +136,7 @@ def train(docs: DataFrame, usable: Column, doc: str = "doc_id", text: str = "tex
         return pd.DataFrame({"lang": lang_key[0], "centroid": [c.astype("<f4").tobytes() for c in centers], "floor": floor})
 
     hashed = known.withColumn("h", F.xxhash64("t", "d"))
-    chosen = hashed.join(few.withColumnRenamed("d", "few_d"), ["h"], "left_semi")
+    chosen = hashed.join(few, "h", "left_semi")
     learned = chosen.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, floor double").collect()
     learned.sort(key=lambda r: (r.lang, bytes(r.centroid)))
     matrix = np.array([np.frombuffer(r.centroid, "<f4") for r in learned], np.float32).reshape(-1, DIMENSIONS)
