@@ -43,9 +43,9 @@ except ModuleNotFoundError as missing:  # these operators are an optional part;
 SMOKE_DIR = "/root/testdata/sf0.001"
 QUERY_FACTORS = 16
 QUERY_ITERATIONS = 5
-VOCABULARY_CUT = 50
 EMBEDDING_WIDTH = 64
 SHORTLIST = 20
+FOREST_LEAF = 64
 
 
 # --- helpers ------------------------------------------------------------------------------------
@@ -254,7 +254,7 @@ def item_texts(spark, d):
 
 def tfidf_vocabulary(spark, d):
     latest, counts, n_docs, _ = _text_stages(spark, d)
-    vocab = textvec.vocabulary(counts, n_docs, max_features=VOCABULARY_CUT)
+    vocab = textvec.vocabulary(counts, n_docs)
     return vocab.select("term", F.col("idx").cast("long").alias("idx"), "corpus_count", "df", _r("idf", 8))
 
 
@@ -285,7 +285,15 @@ def knn_cosine(spark, d):
 
 
 def knn_approx(spark, d):
-    return _neighbors(near.knn_forest(_unit_embeddings(spark, d), 10))
+    return _neighbors(near.knn_forest(_unit_embeddings(spark, d), 10, leaf_rows=FOREST_LEAF))
+
+
+def knn_approx_recall(spark, d):
+    """Whether the forest finds at least nine tenths of the exact neighbours, over all vectors."""
+    exact = near.knn_exact(_unit_embeddings(spark, d), 10, EMBEDDING_WIDTH).select("item_id", "neighbor_id")
+    found = near.knn_forest(_unit_embeddings(spark, d), 10, leaf_rows=FOREST_LEAF).select("item_id", "neighbor_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["item_id", "neighbor_id"], "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    return both.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_neighbors"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("recall_reached"))
 
 
 def knn_angular(spark, d):
@@ -349,6 +357,39 @@ def recommend_cf(spark, d):
     return _lists(rec.cf_lists(user_factors, item_factors, matrix, users, 10, QUERY_FACTORS))
 
 
+def _fixed_factors(spark, d):
+    """Factors that need no training: the embedding whose number an id leaves."""
+    vectors = fx.embedding_vectors(spark, d)
+    n = vectors.count()
+    matrix = stage_table(inter.interaction_matrix(fx.order_events(spark, d)), "matrix")
+
+    def of(key: str, place) -> DataFrame:
+        picked = matrix.select(key).distinct().withColumn("vec_id", F.pmod(place, F.lit(n)))
+        return stage_table(picked.join(vectors.select(F.col("item_id").alias("vec_id"), "vec"), "vec_id").select(key, "vec"), "fixed-factors")
+
+    return matrix, of("user_id", F.col("user_id")), of("item_id", F.col("item_id") * 7 + 3)
+
+
+def recommend_fixed_factors(spark, d):
+    """The factor leg with seen items hidden, over all users and items, on fixed factors."""
+    matrix, users, items = _fixed_factors(spark, d)
+    return _lists(rec.cf_lists(users, items, matrix, matrix.select("user_id").distinct(), 10, EMBEDDING_WIDTH))
+
+
+def similar_fixed_factors(spark, d):
+    """Similar items by the cosine of fixed factors."""
+    _, _, items = _fixed_factors(spark, d)
+    unit = stage_table(items.select("item_id", unit_vector(F.col("vec")).alias("vec")), "unit-factors")
+    return _similar(rec.similar_lists(near.knn_exact(unit, 10, EMBEDDING_WIDTH)))
+
+
+def training_loss_fixed_factors(spark, d):
+    matrix, users, items = _fixed_factors(spark, d)
+    loss = fac.als_training_loss(matrix, users, items)
+    # sums of some millions of terms: seven digits
+    return loss.select(*[F.format_string("%.6e", c).alias(c) for c in ("loss", "fit", "penalty")], "n_cells")
+
+
 def similar_items_cf(spark, d):
     _, _, _, _, factors = _factor_stages(spark, d, fx.order_events(spark, d))
     unit = stage_table(factors.select("item_id", unit_vector(F.col("vec")).alias("vec")), "unit-factors")
@@ -468,6 +509,7 @@ _QUERIES = (
     eligible_users, index_interactions, unseen_candidates, interaction_matrix, latest_properties, item_texts,
     tokenize_text, transition_counts, transition_probs, tfidf_vocabulary, blend_lists, category_performance,
     category_performance_report, evaluate_hit_mrr, user_index, item_index, model_summary, als_training_loss,
+    recommend_fixed_factors, similar_fixed_factors, training_loss_fixed_factors, knn_approx_recall,
     user_sequences, recent_items, holdout_last_event, sample_users, als_factors, recommend_cf, similar_items_cf,
     tfidf_vectors, svd_item_vectors, normalize_vectors, knn_cosine, knn_approx, knn_tfidf, knn_angular, item_neighbors,
     category_nodes, category_ancestors, category_similarity, category_similarity_lca, recommend_content,
@@ -637,6 +679,11 @@ nodes AS (
   UNION SELECT parent FROM {tree} WHERE parent IS NOT NULL)"""
 
 
+_FIXED = """f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), size AS (SELECT count(*) AS c FROM embeddings),
+us AS (SELECT user_id, e AS x FROM (SELECT DISTINCT user_id FROM matrix), size JOIN f ON vec_id = user_id % c),
+its AS (SELECT item_id, e AS y FROM (SELECT DISTINCT item_id FROM matrix), size JOIN f ON vec_id = (item_id * 7 + 3) % c)"""
+
+
 def _judged(training: str, count_empty: bool) -> str:
     valid = "known" if count_empty else "known AND listed"
     return f"""{_last_cte("fx2", _FX2_TIME)},
@@ -702,6 +749,30 @@ def _own_sql() -> dict[str, str]:
             u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM fx1)),
             i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM fx1))
             SELECT user_id, item_id, user_idx, item_idx, weight FROM matrix JOIN u USING (user_id) JOIN i USING (item_id)""",
+        "recommend_fixed_factors": f"""WITH {_FX1}, {_matrix_cte('fx1')}, {_FIXED},
+            scored AS (
+              SELECT us.user_id, its.item_id, list_dot_product(x, y) AS score FROM us CROSS JOIN its
+              LEFT JOIN matrix m ON m.user_id = us.user_id AND m.item_id = its.item_id WHERE m.item_id IS NULL),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM scored)
+            SELECT user_id, item_id, round(score, 6) + 0.0 AS score, rank FROM placed WHERE rank <= 10""",
+        "similar_fixed_factors": f"""WITH {_FX1}, {_matrix_cte('fx1')}, {_FIXED},
+            scored AS (
+              SELECT a.item_id, b.item_id AS similar_id, list_dot_product(a.y, b.y) / sqrt(list_dot_product(a.y, a.y) * list_dot_product(b.y, b.y)) AS score
+              FROM its a JOIN its b ON a.item_id <> b.item_id),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, similar_id) AS rank FROM scored)
+            SELECT item_id, similar_id, round(score, 6) + 0.0 AS score, rank FROM placed WHERE rank <= 10""",
+        "training_loss_fixed_factors": f"""WITH {_FX1}, {_matrix_cte('fx1')}, {_FIXED},
+            cells AS (
+              SELECT list_dot_product(x, y) AS s, weight FROM us CROSS JOIN its
+              LEFT JOIN matrix m ON m.user_id = us.user_id AND m.item_id = its.item_id),
+            fitted AS (
+              SELECT sum(CASE WHEN weight IS NULL THEN s * s ELSE (1 + weight) * (1 - s) * (1 - s) END) AS fit, count(weight) AS n_cells FROM cells),
+            priced AS (
+              SELECT 0.01::DOUBLE * (
+                (SELECT sum(n * list_dot_product(x, x)) FROM us JOIN (SELECT user_id, count(*) AS n FROM matrix GROUP BY user_id) USING (user_id))
+                + (SELECT sum(n * list_dot_product(y, y)) FROM its JOIN (SELECT item_id, count(*) AS n FROM matrix GROUP BY item_id) USING (item_id))) AS penalty)
+            SELECT printf('%.6e', fit + penalty) AS loss, printf('%.6e', fit) AS fit, printf('%.6e', penalty) AS penalty, n_cells FROM fitted, priced""",
+        "knn_approx_recall": """SELECT count(*) AS n_items, (count(*) * least(10, count(*) - 1))::BIGINT AS n_neighbors, true AS recall_reached FROM embeddings""",
         "unseen_candidates": f"""WITH {_FX1}, {_matrix_cte('fx1')},
             top AS (SELECT item_id FROM matrix GROUP BY item_id ORDER BY sum(weight) DESC, item_id LIMIT {SHORTLIST})
             SELECT u.user_id, t.item_id FROM (SELECT DISTINCT user_id FROM matrix) u CROSS JOIN top t
@@ -731,7 +802,7 @@ def _own_sql() -> dict[str, str]:
             SELECT item_id, string_agg(property || '_' || value, ' ' ORDER BY property, value) AS text FROM phrases
             WHERE item_id IN (SELECT item_id FROM fx2) GROUP BY item_id""",
         "tokenize_text": f"WITH {_FX3}, {_TF} SELECT item_id, term, tf FROM tf",
-        "tfidf_vocabulary": f"""WITH {_FX3}, {_TF}, {_vocabulary_cte(str(VOCABULARY_CUT))}
+        "tfidf_vocabulary": f"""WITH {_FX3}, {_TF}, {_VOCAB}
             SELECT term, idx, corpus_count, df, round(idf, 8) AS idf FROM vocab""",
         "tfidf_vectors": f"WITH {_TFIDF} SELECT item_id, term, round(weight, 6) AS weight FROM tfidf",
         "normalize_vectors": f"""WITH unit AS (

@@ -65,6 +65,25 @@ def test_leave_one_out_keeps_copies_of_the_last_event(events):
     assert rows(ev.holdout_last_event(log)) == [(1, B, 4), (3, C, 2)]
 
 
+def test_leave_one_out_keeps_all_columns(events):
+    log = events([(1, A, "view", 1), (1, B, "view", 2)]).selectExpr("'x' AS note", "*")
+    kept = ev.leave_one_out(log)
+    assert kept.columns == log.columns and rows(kept.select("note", "item_id")) == [("x", A)]
+
+
+def test_lists_without_seen_items(spark):
+    probs = spark.createDataFrame([(A, B, 0.6), (A, C, 0.4)], "cur long, next long, prob double")
+    last = spark.createDataFrame([(1, A), (2, A)], "user_id long, item_id long")
+    seen = spark.createDataFrame([(1, B)], "user_id long, item_id long")
+    assert rows(rec.sequential_lists(last, probs, 1, seen).select("user_id", "item_id")) == [(1, C), (2, B)]
+    near = spark.createDataFrame([(A, B, 0.9), (A, C, 0.1)], "item_id long, neighbor_id long, score double")
+    assert rows(rec.content_lists(last, near, 1, seen).select("user_id", "item_id")) == [(1, C), (2, B)]
+
+
+def test_category_report_has_title_and_notice(spark):
+    assert reports.category_report(spark, None).first().report == "Category information not available."
+
+
 def test_leave_one_out_with_a_missing_event_type(events):
     log = events([(1, A, "view", 1), (1, B, None, 2)])
     assert rows(ev.leave_one_out(log).select("user_id", "item_id")) == [(1, A)]

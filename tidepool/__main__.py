@@ -11,6 +11,7 @@ import logging
 from pyspark.sql import SparkSession
 
 from tidepool.config import Params
+from tidepool.plans.evaluate import leave_one_out
 from tidepool.plans.model import Model
 from tidepool.plans.training import Trainer
 from tidepool.session import build_session
@@ -32,20 +33,24 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--simple", action="store_true", help="factors only, 50 factors and 5 iterations")
     p.add_argument("--jobs", type=int, help="accepted for compatibility; Spark decides the parallelism")
     p.add_argument("--no-reuse", action="store_true", help="recompute every stage")
+    p.add_argument("--holdout", default="in_sample", choices=("in_sample", "leave_one_out"),
+                   help="judge on events that training saw, or train without each user's newest event")
+    p.add_argument("--format", choices=("csv", "parquet"), help="input format; default: by the suffix of the path")
     p.add_argument("--unit", default="ms", choices=("s", "ms", "us"), help="unit of epoch timestamps")
     return p
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> Model:
-    events = read_events(spark, args.events, args.unit)
+    events = read_events(spark, args.events, args.unit, args.format)
+    known = leave_one_out(events) if args.holdout == "leave_one_out" else events
     if args.simple:
-        model = Trainer(spark, args.output, Params.simple(), not args.no_reuse).fit_simple(events)
+        model = Trainer(spark, args.output, Params.simple(), not args.no_reuse).fit_simple(known)
     else:
         params = Params(factors=args.factors, iterations=args.iterations, regularization=args.regularization)
-        properties = read_properties(spark, [args.properties1, args.properties2], args.unit)
+        properties = read_properties(spark, [args.properties1, args.properties2], args.unit, args.format)
         trainer = Trainer(spark, args.output, params, not args.no_reuse)
-        model = trainer.fit(events, properties, read_tree(spark, args.categories))
-        log.info("evaluation: %s", model.evaluate(events).first().asDict())
+        model = trainer.fit(known, properties, read_tree(spark, args.categories, args.format))
+        log.info("evaluation (%s): %s", args.holdout, model.evaluate(events).first().asDict())
     first_user = model.tables["user_index"].where("user_idx = 0").select("user_id")
     for row in model.user_reports(first_user, 5).collect():
         print(row.report)

@@ -25,6 +25,8 @@ class Params:
     alpha: float = 1.0
     confidence: str = "scaled"
     seed: int = 42
+    blocks: int = 10
+    evaluation_seed: int = 42
     event_weights: dict = field(default_factory=lambda: dict(EVENT_WEIGHTS))
     min_df: int = 2
     max_df: float = 0.8
@@ -37,5 +39,9 @@ class Params:
         """The small model: 50 factors and 5 iterations."""
         return cls(**{"factors": 50, "iterations": 5, **changes})
 
+    def __post_init__(self):
+        if self.category_mode != "lineage":
+            raise ValueError("training saves lineage similarity only; ask category_similarity_lca for pairs with a common ancestor")
+
     def as_dict(self) -> dict:
         return asdict(self)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,32 +21,22 @@ def category_nodes(tree: DataFrame) -> DataFrame:
 def category_ancestors(tree: DataFrame) -> DataFrame:
     """``<category, ancestor, distance>`` for every node reachable by following parents.
 
-    Breadth first: round d holds the pairs whose shortest path has d steps, so a pair is final when
-    first seen and a cycle adds nothing new. Every round is a written table, the loop ends with the
-    first empty round, and a node reaches itself only with distance 0, which is not stored.
+    Path doubling: a round joins all known paths end to end and keeps the shortest per pair, so a tree of
+    depth d takes log2(d) rounds. A cycle adds nothing, as a node reaches itself only with distance 0, which is
+    not stored. Every round is a written table; the loop ends when neither a pair nor a distance is new.
     """
-    edges = stage_table(category_edges(tree), "category-edges")
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("above"))
-    frontier = stage_table(
-        edges.where("child <> parent").select(
-            F.col("child").alias("category"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")
-        ),
-        "closure-1",
-    )
-    rounds = [frontier]
-    while not frontier.isEmpty():
-        reached = reduce(DataFrame.unionByName, rounds).select("category", "ancestor")
-        found = (
-            frontier.join(step, "ancestor")
-            .where("category <> above")
-            .select("category", F.col("above").alias("ancestor"))
-            .distinct()
-            .join(reached, ["category", "ancestor"], "left_anti")
-            .withColumn("distance", F.lit(len(rounds) + 1))
-        )
-        frontier = stage_table(found, f"closure-{len(rounds) + 1}")
-        rounds.append(frontier)
-    return reduce(DataFrame.unionByName, rounds)
+    one_step = category_edges(tree).where("child <> parent")
+    paths = stage_table(one_step.select(F.col("child").alias("category"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "closure")
+    known = None
+    while True:
+        state = paths.agg(F.count(F.lit(1)), F.sum("distance")).first()
+        if state == known:
+            return paths
+        known = state
+        on = paths.select(F.col("category").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
+        longer = paths.join(on, "ancestor").where("category <> above").select("category", F.col("above").alias("ancestor"), F.expr("distance + more"))
+        shortest = paths.union(longer).groupBy("category", "ancestor").agg(F.min("distance").alias("distance"))
+        paths = stage_table(shortest, "closure")
 
 
 def category_similarity(tree: DataFrame, closure: DataFrame | None = None) -> DataFrame:

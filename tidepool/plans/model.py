@@ -159,4 +159,4 @@ class Model:
             return stage_table(self.recommend(requests, size, method), "judged-lists")
 
         t = self.tables
-        return evaluate_lists(lists, events, t["user_index"], t["item_index"], k, n_users, self.params.seed, count_empty)
+        return evaluate_lists(lists, events, t["user_index"], t["item_index"], k, n_users, self.params.evaluation_seed, count_empty)

@@ -43,7 +43,12 @@ def cf_lists(user_factors: DataFrame, item_factors: DataFrame, seen: DataFrame,
     return found.select(F.col("key").alias("user_id"), F.col("item").alias("item_id"), "score", "rank")
 
 
-def content_lists(recent: DataFrame, neighbors: DataFrame, n: int) -> DataFrame:
+def without_seen(lists: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Rows whose pair is not in ``seen<user_id, item_id>``; all rows if it is None."""
+    return lists if seen is None else lists.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+
+def content_lists(recent: DataFrame, neighbors: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:
     """Sum of neighbour scores over each user's recent items; a repeated item counts each time.
 
     ``recent<user_id, item_id>`` has a handful of rows per user and ``neighbors<item_id, neighbor_id,
@@ -56,15 +61,20 @@ def content_lists(recent: DataFrame, neighbors: DataFrame, n: int) -> DataFrame:
         .agg(F.sum(F.col("times") * F.col("score")).alias("score"))
         .withColumnRenamed("candidate", "item_id")
     )
-    return top_n(scored, ["user_id"], score_order(), n)
+    return top_n(without_seen(scored, seen), ["user_id"], score_order(), n)
 
 
-def sequential_lists(last: DataFrame, probs: DataFrame, n: int) -> DataFrame:
+def sequential_lists(last: DataFrame, probs: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:
     """Most probable followers of each user's last item.
 
     Lists are ranked once per item, not once per user: the user only looks up the list of the last item.
-    Pass ``probs`` as a table: then the ranking prunes a popular item in the scan tasks.
+    Pass ``probs`` as a table: then the ranking prunes a popular item in the scan tasks. With ``seen``,
+    which differs by user, all followers of the last item take part.
     """
+    if seen is not None:
+        every = last.withColumnRenamed("item_id", "cur").join(probs, "cur")
+        every = every.select("user_id", F.col("next").alias("item_id"), F.col("prob").alias("score"))
+        return top_n(without_seen(every, seen), ["user_id"], score_order(), n)
     followers = stage_table(likeliest_next(probs, n), "likeliest-next")
     listed = last.withColumnRenamed("item_id", "cur").join(followers, "cur")
     return listed.select("user_id", F.col("next").alias("item_id"), F.col("prob").alias("score"), "rank")

@@ -76,7 +76,7 @@ class Trainer:
 
     def train_factors(self) -> None:
         p, t = self.params, self.tables
-        print_ = combined("als", self._matrix_print, p.factors, p.iterations, p.regularization, p.alpha, p.confidence, p.seed)
+        print_ = combined("als", self._matrix_print, p.factors, p.iterations, p.regularization, p.alpha, p.confidence, p.seed, p.blocks)
         trained: list[tuple[DataFrame, DataFrame]] = []
 
         def train(which: int) -> DataFrame:
@@ -84,18 +84,22 @@ class Trainer:
                 trained.append(
                     fac.als_factors(
                         t["matrix"], t["user_index"], t["item_index"], p.factors, p.iterations, p.regularization,
-                        p.alpha, p.confidence, p.seed,
+                        p.alpha, p.confidence, p.seed, p.blocks,
                     )
                 )
             return trained[0][which]
 
-        # A factor table only fits the other one from the same run, so both carry a run id.
-        records = [self.store.read_record(f"{name}_factors") for name in ("user", "item")] if self.reuse else [None]
+        # A factor table only fits the other one from the same run: the record of the pair is withdrawn before
+        # either is written and set after both are, so a run that breaks off between them leaves no pair.
+        pair = self.store.read_record("factors") if self.reuse else None
         keep = self.reuse
-        self.reuse = keep and all(r is not None and r["fingerprint"] == print_ for r in records)
+        self.reuse = pair is not None and pair["fingerprint"] == print_
+        if not self.reuse:
+            self.store.write_record("factors", {"fingerprint": None})
         try:
             self._stage("user_factors", print_, lambda: train(0))
             self._stage("item_factors", print_, lambda: train(1))
+            self.store.write_record("factors", {"fingerprint": print_})
         finally:
             self.reuse = keep
 
@@ -147,6 +151,9 @@ def load_model(spark: SparkSession, folder: str) -> Model:
     record = store.read_record("model")
     if record is None:
         raise FileNotFoundError(f"no completed model in {folder}")
+    pair = store.read_record("factors")
+    if pair is not None and pair["fingerprint"] is None:
+        raise FileNotFoundError(f"the factors in {folder} come from a run that did not finish")
     tables = {name: store.read(name) for name in COMPONENTS if name in record["components"]}
     tables = {name: table for name, table in tables.items() if table is not None}
     return Model(Params(**record["params"]), tables, record["summary"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def build_session(app: str = "tidepool", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution on. On a cluster, pass nothing and let spark-submit decide."""
+def build_session(app: str = "tidepool", master: str | None = None, shared_dir: str | None = None, **conf) -> SparkSession:
+    """A session with adaptive execution on. On a cluster, pass nothing and let spark-submit decide.
+
+    ``shared_dir`` is the folder for intermediate tables, as ``spark.checkpoint.dir``.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shared_dir:
+        conf["spark.checkpoint.dir"] = shared_dir
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -56,7 +62,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="tidepool-")
         context.setCheckpointDir(configured)
@@ -73,4 +79,19 @@ def stage_table(df: DataFrame, label: str, schema: StructType | None = None) ->
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+#: Staged tables of this driver that still exist.
+_STAGED: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far; results that still read them must have been written. Returns their number."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += path.getFileSystem(configuration).delete(path, True)
+    return gone
