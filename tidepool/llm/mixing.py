@@ -85,7 +85,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc: str = "
     """
     name = spare(docs, "domain")
     asked = labelled.where(F.col("domain").isin(domains)).select(F.col("doc_id").alias(doc), F.col("domain").alias(name)).distinct()
-    body = docs.select(F.col(doc), whole_text(text).alias("t")).join(asked, doc)
+    # labels grow with the documents: the same join at every size, and no broadcast that only small inputs can afford
+    body = docs.select(F.col(doc), whole_text(text).alias("t")).join(asked.hint("merge"), doc)
     body = stage_table(body.select(F.col(name).alias("domain"), F.array_distinct(word_places(F.col("t"))).alias("places")), "labelled-places")
     sizes = {r.domain: r.n for r in body.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(d, 0) for d in domains]
