@@ -18,6 +18,7 @@ import base64
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -32,24 +33,25 @@ from tidepool.llm.common import small_batches, whole_text
 LONG_BYTES = 1000
 #: Rows of one word take its number times this, plus their position.
 STRIDE = 1024
+#: Met words of a generation; the generation before it is kept too, and words met again move on.
 CACHE_WORDS = 400_000
 #: Words contracted by one recursive query.
 QUERY_WORDS = 50_000
-#: A space after other white space: there the cut at single spaces would differ from the pattern.
-UNEVEN = re.compile(r"\s ")
+#: A space after other white space: there the cut at single spaces would differ from the pattern. The null marks the cuts.
+UNEVEN = re.compile(r"\s |\0")
 
 CONTRACT = f"""
 WITH RECURSIVE state(k, tok, best) AS (
   SELECT k, tok, best FROM start LEFT JOIN (
     SELECT a.k // {STRIDE} AS word, min(m.merged * {STRIDE}::BIGINT + a.k % {STRIDE}) AS best
-    FROM start a JOIN start b ON b.k = a.k + 1 JOIN merges m ON m.pair = a.tok * 65536::BIGINT + b.tok GROUP BY 1
+    FROM start a JOIN merges m ON m.pair = a.tok * 65536::BIGINT + a.nxt GROUP BY 1
   ) ON word = k // {STRIDE}
   UNION ALL (
-    WITH moved AS (
+    WITH moved AS MATERIALIZED (
       SELECT CASE WHEN k % {STRIDE} > best % {STRIDE} THEN k - 1 ELSE k END AS k,
              CASE WHEN k % {STRIDE} = best % {STRIDE} THEN (best // {STRIDE})::INTEGER ELSE tok END AS tok
       FROM state WHERE best IS NOT NULL AND k % {STRIDE} <> best % {STRIDE} + 1),
-    ranked AS (
+    ranked AS MATERIALIZED (
       SELECT a.k // {STRIDE} AS word, min(m.merged * {STRIDE}::BIGINT + a.k % {STRIDE}) AS best
       FROM moved a JOIN moved b ON b.k = a.k + 1 JOIN merges m ON m.pair = a.tok * 65536::BIGINT + b.tok GROUP BY 1)
     SELECT k, tok, best FROM moved LEFT JOIN ranked ON word = k // {STRIDE}))
@@ -75,6 +77,7 @@ class Coder:
             raise ValueError("ranks must be below 65536")
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         splits = [
             (self.ranks[token[:i]] * 65536 + self.ranks[token[i:]], rank)
             for token, rank in self.ranks.items() for i in range(1, len(token))
@@ -93,7 +96,7 @@ class Coder:
         self.db.unregister("given")
 
     def pieces(self, text: str) -> list[str]:
-        return [m[0] for m in self.pattern.finditer(text)]
+        return self.pattern.findall(text) if not self.pattern.groups else [m[0] for m in self.pattern.finditer(text)]
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
@@ -107,7 +110,9 @@ class Coder:
                 raise ValueError("the ranks lack a single byte")
             begin = np.cumsum(sizes) - sizes
             k = np.repeat(np.arange(len(some)) * STRIDE - begin, sizes) + np.arange(len(flat))
-            self.db.register("start", pa.table({"k": k, "tok": flat}))
+            follows = np.append(flat[1:], -1)
+            follows[np.cumsum(sizes) - 1] = -1
+            self.db.register("start", pa.table({"k": k, "tok": flat, "nxt": follows}))
             got = self.db.execute(CONTRACT).fetchnumpy()
             self.db.unregister("start")
             ids = np.asarray(got["tok"]).astype("<u4")
@@ -148,24 +153,34 @@ class Coder:
             at = ends[at]
         return np.array(ids, "<u4").tobytes()
 
+    def _unmet(self, words: set[str]) -> list[str]:
+        """The words without kept ids; those of the older generation move on."""
+        unmet = []
+        for word in words.difference(self.cache):
+            if word in self.older:
+                self.cache[word] = self.older[word]
+            else:
+                unmet.append(word)
+        return unmet
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Texts are cut at single spaces first, where the pattern always cuts, and each cut's ids are kept."""
+        """Ids of each text. Texts are cut at single spaces first, where the pattern always cuts; ids of cuts and of the pattern's words are kept."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         cuts = []
         for text in texts:
             if UNEVEN.search(text):
                 cuts.append(self.pieces(text))
             else:
-                head, *rest = text.split(" ")
-                cuts.append([head, *[" " + w for w in rest]])
-        new = list({c for cut in cuts for c in cut if c not in self.cache})
+                cuts.append(text.replace(" ", "\0 ").split("\0"))
+        new = self._unmet(set(chain.from_iterable(cuts)))
         parts = [self.pieces(c) for c in new]
-        words = list({w for some in parts for w in some})
-        ids = dict(zip(words, self.contract([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
+        words = self._unmet(set(chain.from_iterable(parts)))
+        self.cache.update(zip(words, self.contract([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
         for cut, some in zip(new, parts, strict=True):
-            self.cache[cut] = b"".join([ids[w] for w in some])
-        return [b"".join([self.cache[c] for c in cut]) for cut in cuts]
+            if len(some) != 1:
+                self.cache[cut] = b"".join([self.cache[w] for w in some])
+        return [b"".join(map(self.cache.__getitem__, cut)) for cut in cuts]
 
     def decode(self, lists: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
