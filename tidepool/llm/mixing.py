@@ -196,8 +196,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs:
     """``docs`` with each row repeated by its fitted rate."""
     model, fitted, _ = soft_rates(docs, labelled, weights, epochs, doc, text)
     often, number = spare(docs, "often"), spare(docs, "number")
-    # inline: the posterior is computed once a row
-    times = copies(rate(posterior(whole_text(text), model), fitted), doc, text)
+    # bound before the rounds, which would each compute it anew; inline: so would each use of the number
+    own_rate = let(posterior(whole_text(text), model), lambda post: rate(post, fitted))
+    times = copies(own_rate, doc, text)
     counted = docs.select("*", F.inline(F.array(F.struct(times.alias(often)))))
     repeated = counted.withColumn(number, F.explode(F.array_repeat(F.lit(1), F.col(often))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])
