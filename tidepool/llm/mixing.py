@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import WHITE_RUN, let, spare, whole_text
 from tidepool.session import stage_table
 
-PLACES = 1 << 18
+#: Of 31 bits: with fewer, long texts would hit told places by the hashes of other words.
+PLACES = (1 << 31) - 1
+#: Told places are looked up by slot; of two in one slot the one of more labelled texts is told.
+SLOTS = 1 << 18
 #: A place is told apart if the share of a domain's texts that have it differs from that of the rest by this many standard errors.
 LEAST_Z = 6.0
 #: ... if place and domain correlate by as much, whatever the number of texts, ...
@@ -81,7 +84,7 @@ def constants(values: list, kind: str) -> Column:
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc: str = "doc_id", text: str = "text") -> Classifier:
     """Naive Bayes over the places that a text has; ``labelled`` has doc_id and domain.
 
-    Only the told places, at most ``PLACES``, reach the driver.
+    Only the told places, at most ``SLOTS``, reach the driver.
     """
     name = spare(docs, "domain")
     asked = labelled.where(F.col("domain").isin(domains)).select(F.col("doc_id").alias(doc), F.col("domain").alias(name)).distinct()
@@ -102,26 +105,29 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc: str = "
             own, rest = F.col(f"n{i}") / n[i], (F.col("n") - F.col(f"n{i}")) / (total - n[i])
             error = share * (1 - share) * (1 / n[i] + 1 / (total - n[i]))
             told |= (own >= LEAST_RATIO * rest) & ((own - rest) * (own - rest) >= max(LEAST_Z**2, LEAST_PHI**2 * total) * error)
-    rows = sorted(found.where(told).collect(), key=lambda r: r.place)
+    best = found.where(told).groupBy((F.col("place") % SLOTS).alias("slot")).agg(F.max(F.struct("n", "place", *[f"n{i}" for i in range(len(domains))])).alias("r"))
+    rows = sorted(best.select("r.*").collect(), key=lambda r: r.place)
     chance = np.array([[(r[f"n{i}"] + 0.5) / (n[i] + 1) for r in rows] for i in range(len(domains))]).reshape(len(domains), len(rows))
     weight = np.log(chance) - np.log(chance[:1])
-    known = _numbers([r.place for r in rows])
-    plain = body.where(F.size(F.filter("places", lambda p: F.get(known, p) > 0)) == 0)
+    is_told, _ = _lookup([r.place for r in rows])
+    plain = body.where(F.size(F.filter("places", is_told)) == 0)
     left = {r.domain: r.n for r in plain.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     base = [math.log(left.get(d, 0) + 0.5) if c else -1e9 for d, c in zip(domains, n, strict=True)]
     return Classifier(list(domains), base, [r.place for r in rows], weight.tolist())
 
 
-def _numbers(places: list[int]) -> Column:
-    """By place: the number of a told place from 1, else 0."""
-    number = np.zeros(PLACES, int)
-    number[places] = np.arange(1, len(places) + 1)
-    return constants(number.tolist(), "int")
+def _lookup(places: list[int]):
+    """Two functions of a place: whether it is told, and the number of a told one from 1."""
+    number = np.zeros(SLOTS, int)
+    number[np.array(places, int) % SLOTS] = np.arange(1, len(places) + 1)
+    numbers, told = constants(number.tolist(), "int"), constants([-1, *places], "int")
+    number_of = lambda p: F.get(numbers, p % SLOTS)
+    return lambda p: F.get(told, number_of(p)) == p, number_of
 
 
 def posterior(text: Column, model: Classifier) -> Column:
     """The probabilities of the domains, in the classifier's order, as an array."""
-    known = _numbers(model.places)
+    is_told, number_of = _lookup(model.places)
     rows = [constants([0.0, *weights], "double") for weights in model.weights[1:]]
 
     def scores(ids: Column) -> Column:
@@ -131,7 +137,7 @@ def posterior(text: Column, model: Classifier) -> Column:
         sums = [F.lit(0.0), *[total(row) for row in rows]]
         return F.array(*[F.lit(b - model.base[0]) + F.lit(TEMPER) * s for b, s in zip(model.base, sums, strict=True)])
 
-    ids = F.array_distinct(F.filter(F.transform(word_places(text), lambda p: F.get(known, p)), lambda i: i > 0))
+    ids = F.transform(F.array_distinct(F.filter(word_places(text), is_told)), number_of)
     raised = let(let(ids, scores), lambda ls: F.transform(ls, lambda x: F.exp(x - F.array_max(ls))))
     return let(raised, lambda es: F.transform(es, lambda e: e / F.aggregate(es, F.lit(0.0), lambda a, b: a + b)))
 
