@@ -247,6 +247,23 @@ def test_mixing_cases(spark, odd, none):
     assert mixing.mix(odd, labels.limit(0), weights).columns == odd.columns
 
 
+def test_long_clean_texts_are_kept(spark):
+    """Thousands of words met nowhere else say nothing about a text, and emitted rows follow the fitted rates."""
+    rows = [(i, f"plain {i}") for i in range(200)] + [(i, f"plain spam spam{i % 3} {i}") for i in range(200, 300)]
+    rows += [(i, " ".join(f"w{i}x{j}" for j in range(20000))) for i in range(300, 310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "low" if 200 <= i < 300 else "clean") for i in range(300)], "doc_id long, domain string")
+    weights = {"clean": 0.99, "low": 0.01}
+    _, fitted, table = mixing.soft_rates(docs, labels, weights, 1.05)
+    post = {r.doc_id: r.post[0] for r in table.collect()}
+    clean, low = [p for i, p in post.items() if not 200 <= i < 300], [p for i, p in post.items() if 200 <= i < 300]
+    assert min(clean) > 0.9 and max(clean) - min(clean) < 1e-9 and max(low) < 0.9
+    rated = docs.join(table.select("doc_id", mixing.rate(F.col("post"), fitted).alias("rate")), "doc_id")
+    want = {r.doc_id: r.n for r in rated.select("doc_id", mixing.copies(F.col("rate")).alias("n")).collect() if r.n}
+    got = {r.doc_id: r["count"] for r in mixing.mix(docs, labels, weights, 1.05).groupBy("doc_id").count().collect()}
+    assert got == want and set(range(200)) | set(range(300, 310)) <= set(got)
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 
 
