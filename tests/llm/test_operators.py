@@ -397,6 +397,19 @@ def test_simhash_cases(odd, none):
     assert simhash.groups(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
+def test_rows_of_one_id_are_linked_by_bits_alone(spark):
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (7, "red green blue white black grey"),
+            (7, "north south east west up down"), (9, "north south east west up down"), (None, "red green blue white black grey")]
+    want = {t: brute_fingerprint(t) for _, t in rows}
+    assert all((a ^ b).bit_count() > 4 for a in want.values() for b in want.values() if a != b)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.groups(frame).collect())
+    label = {t: min((d for d, u in rows if u == t and d is not None), default=None) for _, t in rows}
+    assert got == Counter((d, f"{want[t]:016x}", label[t]) for d, t in rows)
+    kept = Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(frame).collect())
+    assert kept == Counter((label[t], t) for t in want)
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ lost. A task hands on a spanning set of the links it verified, not all pairs.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero, which links like any other; a text
 of fewer words than a shingle is one shingle; repeated rows share a component; a null doc_id takes part and is larger
-than all others; an empty table gives an empty result.
+than all others, rows that share an id (or have none) are linked by their fingerprints alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -215,41 +215,41 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int
            max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, fp."""
     rows = fingerprints(docs.select(F.col(doc).alias("doc_id"), whole_text(text).alias("t")), "t", words)
-    return _classes(stage_table(rows.select("doc_id", "fp"), "fingerprints"), max_bits, block_rows)
+    found = _classes(stage_table(rows.select("doc_id", "fp"), "fingerprints"), max_bits, block_rows)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-#: Stands for a null doc_id among the nodes.
+#: Stands for a null doc_id among the keys of the join.
 LAST = (1 << 63) - 1
 
 
 def _classes(rows: DataFrame, max_bits: int, block_rows: int) -> DataFrame:
-    nodes = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("node"))
-    nodes = stage_table(nodes, "nodes")
-    joined = components(links(nodes, max_bits, block_rows))
-    classes = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(classes, "fp")
-    component = F.when(F.col("component_id") != LAST, F.col("component_id")).alias("component_id")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component, "fp")
+    """``rows`` with a number of their component (``class``) and its smallest doc_id; nodes are the distinct fingerprints."""
+    nodes = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits, block_rows))
+    classes = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = stage_table(classes.select("fp", "least", F.coalesce("component", "fp").alias("class")), "classes")
+    # null where all ids of the component are
+    labels = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return rows.join(classes.select("fp", "class").join(labels, "class"), "fp")
 
 
 def drop_near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
                      max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id.
 
-    Rows that share that doc_id and a fingerprint are told apart by a hash of their text, and equal ones count as one.
+    Rows of a component that share that doc_id are told apart by fingerprint and a hash of their text, and equal ones count as one.
     """
     name = spare(docs, "fp")
     brief = fingerprints(docs.select(F.col(doc).alias("doc_id"), whole_text(text).alias("t")), "t", words)
     brief = stage_table(brief.select("doc_id", "fp", F.xxhash64("t").alias("body")), "fingerprints")
-    classes = _classes(brief.select("doc_id", "fp"), max_bits, block_rows).select("doc_id", "fp", "component_id")
-    own = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    tied = brief.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(own.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "fp"), ["d", "fp"])
-    stays = tied.groupBy("d").agg(F.min(F.struct("fp", "body")).alias("best"))
-    stays = stage_table(stays.select(F.col("d").alias(spare(docs, "stay_id")), F.col("best.body").alias(spare(docs, "stay_body"))), "stays")
+    found = _classes(brief, max_bits, block_rows)
+    stays = found.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "fp", "body")).alias("best"))
+    stays = stage_table(stays.select(F.col("best.d").alias(spare(docs, "stay_id")), F.col("best.body").alias(spare(docs, "stay_body"))), "stays")
     stay, body = stays.columns
     marked = docs.withColumn(name, F.coalesce(F.col(doc), F.lit(LAST)))
     kept = marked.join(stays, (F.col(name) == F.col(stay)) & (F.xxhash64(whole_text(text)) == F.col(body)))
     place = spare(kept, "place")
     # the keys of the join, so that texts are not shuffled again
-    first = Window.partitionBy(stay, body).orderBy(F.lit(0))
+    first = Window.partitionBy(stay, body).orderBy(F.col(doc).isNull())
     return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
