@@ -134,6 +134,20 @@ def test_salvage_finds_later_records_and_logs_gaps(packed):
     assert list(warc.Reader(Source(b""))) == []
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_headers_have_no_bound(packed):
+    made, urls = [], ["u", "data:," + "x" * 100_000, "v", "data:," + "y" * 400_000]
+    for url in urls:
+        plain = warc.record("response", "1", url, b"text", warc.payload_digest(b"text"), 4)
+        made.append(warc.member(plain) if packed else plain)
+    found = list(warc.Reader(Source(b"".join(made))))
+    assert [(kind, f.get("url")) for kind, _, f in found] == [("record", u) for u in urls]
+    # a version line without a header end is a gap to the end of the file
+    tail = b"WARC/1.1\r\nx" * 50 + b"y" * 500_000
+    kinds = [(kind, f.get("size")) for kind, _, f in warc.Reader(Source(made[1] + tail))]
+    assert kinds == [("record", None), ("gap", len(tail))]
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 

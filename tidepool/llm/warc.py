@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -36,8 +37,7 @@ START = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ID = "urn:page:"
-#: A block or header larger than this fails its check.
-MOST_HEADER = 1 << 16
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]+\r\n")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -119,6 +119,7 @@ class Reader:
 
     def __init__(self, source):
         self.source, self.base, self.held, self.ended = source, 0, b"", False
+        self.blank = -1  # offset in the file of the last header end found
 
     def _fill(self, size: int) -> bool:
         """Hold at least ``size`` bytes, if the file has them."""
@@ -151,10 +152,26 @@ class Reader:
             return None
         return b"".join(parts), end - len(unpacker.unused_data)
 
+    def _header_end(self, at: int) -> int:
+        """Where the next header end after ``at`` is, however far; -1 if the file has none. No byte is searched twice."""
+        if self.blank < self.base + at:
+            begin = at
+            while True:
+                stop = self.held.find(b"\r\n\r\n", begin)
+                if stop >= 0:
+                    self.blank = self.base + stop
+                    break
+                begin = max(at, len(self.held) - 3)
+                if not self._fill(len(self.held) + max(PIECE, len(self.held) - at)) and len(self.held) <= begin + 3:
+                    self.blank = 1 << 62
+                    break
+        return self.blank - self.base if self.blank < 1 << 62 else -1
+
     def _plain(self, at: int) -> tuple[bytes, int] | None:
         """The bytes of the record without compression at ``at`` and its end, by its stated length."""
-        self._fill(at + MOST_HEADER)
-        stop = self.held.find(b"\r\n\r\n", at, at + MOST_HEADER)
+        if not self._fill(at + len(VERSION)) or not VERSION_LINE.match(self.held, at):
+            return None
+        stop = self._header_end(at)
         if stop < 0:
             return None
         size = headers(self.held[at:stop]).get("content-length", "")
@@ -212,8 +229,8 @@ def headers(head: bytes) -> dict[str, str]:
 
 def parse(body: bytes) -> dict | str:
     """The fields of a record, or the check that it fails."""
-    stop = body.find(b"\r\n\r\n", 0, MOST_HEADER)
-    if not body.startswith(START) or stop < 0:
+    stop = body.find(b"\r\n\r\n")
+    if not VERSION_LINE.match(body) or stop < 0:
         return "no version line or header end"
     fields = headers(body[:stop])
     block = body[stop + 4 : -4]
