@@ -188,6 +188,21 @@ def test_filter_never_undercounts(docs):
     assert (level >= true).all() and (level > true).mean() < 0.2
 
 
+def test_filter_follows_the_corpus():
+    for n in (10**6, 9 * 10**7, 54 * 10**8, 10**11):
+        segments, bits = lm_bloom.sizes_of(n, 2 * n)
+        assert bits >= 6 * n and bits // segments <= 12 * lm_bloom.GROUP_GRAMS and 4 * n / segments <= lm_bloom.GROUP_GRAMS
+
+
+def test_scores_do_not_depend_on_segments_and_chunks(docs):
+    pick = ~lm_held("doc_id")
+    want = {r.doc_id: r for r in lm_bloom.score(docs, pick, bits_per_token=600).collect()}
+    got = {r.doc_id: r for r in lm_bloom.score(docs, pick, bits_per_token=600, group_grams=200, chunk_tokens=3000).collect()}
+    assert got.keys() == want.keys()
+    for doc, r in got.items():
+        assert r.score == pytest.approx(want[doc].score, rel=1e-6) and r.base_score == pytest.approx(want[doc].base_score)
+
+
 def test_language_model_cases(odd, none):
     got = lm_bloom.score(odd, ~lm_held("doc_id")).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2, 4)} == {1}

@@ -6,9 +6,10 @@ low by more than a step of the scale, and too high only by the filter's error ra
 ``share * c(previous, word) / c(previous) + (1 - share) * base``, with the add-half base of single words; the share is the one of a fixed grid
 that scores the training texts best when each pair is counted without itself.
 
-The filter has ``bits_per_token`` bits for each training token, rounded up to a power of two, and at most ``MOST_BITS`` (128 MiB), which bounds
-the broadcast. Beyond that no n-gram is dropped; the error rate rises. Counting is an ordinary shuffle on segments of the hash, cut into
-as many parts as the corpus needs, so no part grows with it.
+The filter has at least ``bits_per_token`` bits for each training token, rounded up to a power of two, and as many segments as keep the n-grams of
+each below ``GROUP_GRAMS``; the first bits of a hash name its segment. Neither is ever gathered: texts are read in chunks, the distinct n-grams of a chunk go
+to the tasks of their segments with their counts in training rows, and such a task builds its segment, probes it for every chunk and hands back levels.
+So only a chunk and a segment have a size bound, and the error rate does not rise with the corpus.
 
 The base score uses exact counts: those of the most frequent words (at most ``HEAD_WORDS``) travel with the tasks, all other words of a document are joined.
 Words are told apart by 64-bit XXH64.
@@ -25,23 +26,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import small_batches, whole_text
 from tidepool.session import stage_table
 
+#: The least number of segments and of bits in one.
 SEGMENTS = 256
+SEGMENT_BITS = 256
 BITS_PER_TOKEN = 6
-MOST_BITS = 1 << 30
 HASHES = 4
 #: Counts of level q are at least STEP ** (q - 1).
 STEP = 1.5
 LEVELS = 60
 HEAD_WORDS = 1 << 21
-#: Distinct n-grams that one counting group aims at.
+#: N-grams of all chunks that one segment meets, on average.
 GROUP_GRAMS = 2_000_000
-#: Tokens that a task gathers before it hands on their pairs.
+#: Tokens of a chunk, which a text longer than that exceeds.
 FLUSH_TOKENS = 2_000_000
 GRID = (0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7)
 #: Odd 64-bit constants that mix hashes, and the seed of word hashes.
@@ -101,41 +104,71 @@ def pairs_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return before, words
 
 
-def places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """The HASHES positions of each key at a level, all in the segment of its first byte."""
-    inside = np.uint64(bits // SEGMENTS - 1)
-    start = (keys >> np.uint64(56)) * np.uint64(bits // SEGMENTS)
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return keys >> np.uint64(64 - segments.bit_length() + 1)
+
+
+def places(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+    """The HASHES positions of each key at a level within its segment of ``size`` bits."""
+    inside = np.uint64(size - 1)
     one = mix(keys + np.uint64(level * int(C) % (1 << 64)))
     two = mix(one ^ B) | np.uint64(1)
-    return [start + ((one + np.uint64(i) * two) & inside) for i in range(HASHES)]
+    return [(one + np.uint64(i) * two) & inside for i in range(HASHES)]
+
 
+def segment_bits(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The bits of a segment that holds these keys."""
+    body, level = np.zeros(size, bool), level_of(counts)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        for place in places(keys[level >= q], q, size):
+            body[place] = True
+    return body
 
-def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Levels of the keys: probes go on until one is missing."""
-    bits = len(table) * 8
-    level = np.zeros(len(keys), np.int64)
+
+def probe(body: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys of one segment: probes go on until one is missing."""
+    level = np.zeros(len(keys), np.uint8)
     alive = np.arange(len(keys))
     for q in range(1, LEVELS + 1):
         if not len(alive):
             break
         hit = np.ones(len(alive), bool)
-        for place in places(keys[alive], q, bits):
-            hit &= (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        for place in places(keys[alive], q, len(body)):
+            hit &= body[place]
         alive = alive[hit]
         level[alive] = q
     return level
 
 
+@dataclass
+class Filter:
+    """The table (segment, body) of all segments, their number, and the bits of all."""
+
+    rows: DataFrame
+    segments: int
+    bits: int
+
+
+def lookup(table: Filter, keys: np.ndarray) -> np.ndarray:
+    """Levels of a few keys, on the driver; holds one segment at a time."""
+    level, own = np.zeros(len(keys), np.int64), segment_of(keys, table.segments)
+    for row in table.rows.toLocalIterator():
+        at = np.flatnonzero(own == np.uint64(row.segment))
+        if len(at):
+            level[at] = probe(np.unpackbits(np.frombuffer(row.body, np.uint8), bitorder="little").view(bool), keys[at])
+    return level
+
+
 @dataclass
 class Model:
-    """Filter, exact totals, exact counts of frequent words by sorted hash, and the least count of these."""
+    """Exact totals, exact counts of frequent words by sorted hash, the least count of these, and the filter if it was kept."""
 
-    table: np.ndarray
     n: int
     v: int
     head: np.ndarray
     head_counts: np.ndarray
     head_least: int
+    table: Filter | None = None
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of frequent words, -1 for others."""
@@ -145,108 +178,167 @@ class Model:
         return np.where(self.head[at] == keys, self.head_counts[at], -1)
 
 
-def _sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sizes_of(n: int, most: int, bits_per_token: int = BITS_PER_TOKEN, group_grams: int = GROUP_GRAMS) -> tuple[int, int]:
+    """(segments, bits) for ``n`` training tokens among at most ``most`` tokens."""
+    segments = 1 << max(SEGMENTS.bit_length() - 1, math.ceil(math.log2(max(1, 2 * most / group_grams))))
+    return segments, max(segments * SEGMENT_BITS, 1 << math.ceil(math.log2(max(1, n * bits_per_token))))
+
+
+def chunk_keys(distinct: np.ndarray, back: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens ``distinct[back]``: the sorted n-grams, the order that sorts words and then pairs so, and each token's place among the pairs."""
+    before, found = pairs_of(distinct[back], lengths)
+    pairs, place = np.unique(pair_hash(before, found), return_inverse=True)
+    keys = np.concatenate((mix(distinct), pairs))
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
+    return keys[order], order, place
 
 
-def _gram_parts(train: DataFrame, parts: int) -> DataFrame:
-    """(segment, part, keys, counts): sorted n-gram hashes of each task with their counts there, as bytes."""
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte plane by byte plane."""
+    body = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
-    def gather(batches):
-        words, held, size = Words(), [], 0
 
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            group = (keys >> np.uint64(56)) * np.uint64(parts) + (mix(keys) >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(group, kind="stable")
-            keys, counts, group = keys[order], counts[order].astype("<u4"), group[order]
-            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            ends = [*first[1:], len(group)]
-            for at in range(0, len(first), 512):
-                some = list(zip(first[at : at + 512], ends[at : at + 512], strict=True))
-                yield pa.RecordBatch.from_pydict({
-                    "segment": pa.array([int(group[a]) // parts for a, _ in some], pa.int32()),
-                    "part": pa.array([int(group[a]) % parts for a, _ in some], pa.int32()),
-                    "keys": pa.array([keys[a:b].tobytes() for a, b in some], pa.binary()),
-                    "counts": pa.array([counts[a:b].tobytes() for a, b in some], pa.binary()),
-                })
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    body = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(body, np.uint8).reshape(width, n).T.copy().view(kind).reshape(n)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
+
+
+def _chunks(rows: DataFrame, chunk_tokens: int) -> DataFrame:
+    """From (doc_id, trained, t), a row a chunk: the sorted hashes of its words, its tokens as places among the words by falling count, and its documents.
 
+    A written table, as chunks must not change between their uses.
+    """
+
+    def chunk(number, held):
+        ids, flags, found, lengths = zip(*held, strict=True)
+        distinct, back, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        rank = np.empty(len(distinct), "<u4")
+        order = np.argsort(-times, kind="stable")
+        rank[order] = np.arange(len(distinct))
+        columns = [
+            pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (
+                pack_sorted(distinct), pack(order.astype("<u4")), pack(rank[back]), pack(np.concatenate(lengths).astype("<i8")))),
+            *(pa.ListArray.from_arrays(pa.array([0, sum(map(len, x))], pa.int32()), pa.concat_arrays(x)) for x in (ids, flags)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "words", "ranks", "tokens", "lengths", "ids", "trained"])
+
+    def gather(batches):
+        words, held, size, number = Words(), [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            ids, flags, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "trained", "t"))
             for at in range(0, len(texts), 100):
-                found, sizes = words.hashes(texts[at : at + 100])
-                held += [mix(found), pair_hash(*pairs_of(found, sizes))]
+                found, lengths = words.hashes(texts.slice(at, 100).to_pylist())
+                held.append((ids.slice(at, 100), flags.slice(at, 100), found, lengths))
                 size += len(found)
-                if size >= FLUSH_TOKENS:
-                    yield from flush()
-                    held, size = [], 0
+                if size >= chunk_tokens:
+                    yield chunk(number, held)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield from flush()
+            yield chunk(number, held)
 
-    return train.mapInArrow(gather, "segment int, part int, keys binary, counts binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    kinds = f"chunk long, words binary, ranks binary, tokens binary, lengths binary, ids array<{kind}>, trained array<boolean>"
+    return stage_table(rows.mapInArrow(gather, kinds), "chunks")
 
 
-def _bits_of(bits: int):
-    """By group of sorted rows: the bytes of a segment with the bits of its n-grams."""
+def chunk_tokens_of(words: bytes, ranks: bytes, tokens: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes, each token's place among them, and the number of tokens of each text."""
+    return unpack_sorted(words), unpack(ranks, "<u4")[unpack(tokens, "<u4")], unpack(lengths, "<i8")
 
-    def build(batches):
-        key, keys, counts = None, [], []
 
-        def done():
-            found, n = _sum_sorted(np.concatenate(keys), np.concatenate(counts))
-            level = level_of(n)
-            size = bits // SEGMENTS
-            body = np.zeros(size, bool)
-            start = np.uint64(key[0] * size)
-            for q in range(1, int(level.max(initial=0)) + 1):
-                for place in places(found[level >= q], q, bits):
-                    body[place - start] = True
-            return pa.RecordBatch.from_pydict({"segment": pa.array([key[0]], pa.int32()), "body": pa.array([np.packbits(body, bitorder="little").tobytes()], pa.binary())})
+def _gram_rows(segments: int):
+    """For chunks: a row a segment with its n-grams and their counts in training rows."""
 
+    def run(batches):
         for batch in batches:
-            for segment, part, k, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                if key not in (None, (segment, part)):
-                    yield done()
-                    keys, counts = [], []
-                key = (segment, part)
-                keys.append(np.frombuffer(k, "<u8"))
-                counts.append(np.frombuffer(c, "<u4").astype(np.int64))
-        if key is not None:
-            yield done()
-
-    return build
-
-
-def _join_bits(batches):
-    """By sorted rows of segments: one row a segment, the union of its bits."""
-    key, body = None, None
+            for i in range(batch.num_rows):
+                number, *packed, trained = [column[i].as_py() for column in batch.columns]
+                distinct, back, lengths = chunk_tokens_of(*packed)
+                keys, order, place = chunk_keys(distinct, back, lengths)
+                own = np.repeat(np.array(trained, bool), lengths)
+                counts = np.concatenate((np.bincount(back[own], minlength=len(distinct)), np.bincount(place[own], minlength=len(keys) - len(distinct))))
+                counts = counts[order].astype("<u4")
+                group = segment_of(keys, segments)
+                first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                ends = [*first[1:], len(group)]
+                for at in range(0, len(first), 512):
+                    some = list(zip(first[at : at + 512], ends[at : at + 512], strict=True))
+                    yield pa.RecordBatch.from_pydict({
+                        "segment": pa.array([int(group[a]) for a, _ in some], pa.int32()), "chunk": pa.array([number] * len(some), pa.int64()),
+                        "keys": pa.array([pack_sorted(keys[a:b]) for a, b in some], pa.binary()),
+                        "counts": pa.array([pack(counts[a:b]) for a, b in some], pa.binary()),
+                    })
+
+    return run
+
+
+def _segments_of(batches):
+    """By sorted rows (segment, chunk, keys, counts): the rows of each segment."""
+    key, held = None, []
     for batch in batches:
-        for segment, part in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            new = np.frombuffer(part, np.uint8)
-            if segment == key:
-                body |= new
+        for segment, *row in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            if segment != key and held:
+                yield key, held
+                held = []
+            key = segment
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _by_segment(size: int, keep: bool):
+    """For sorted rows of segments of ``size`` bits: the body of each, or the levels of each chunk's n-grams."""
+
+    def run(batches):
+        for segment, rows in _segments_of(batches):
+            parts = [unpack_sorted(k) for _, k, _ in rows]
+            keys, counts = np.concatenate(parts), np.concatenate([unpack(c, "<u4") for _, _, c in rows]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            first = np.flatnonzero(new)
+            distinct = keys[first]
+            body = segment_bits(distinct, np.add.reduceat(counts, first), size)
+            if keep:
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "body": pa.array([np.packbits(body, bitorder="little").tobytes()], pa.binary())})
                 continue
-            if key is not None:
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([key], pa.int32()), "body": pa.array([body.tobytes()], pa.binary())})
-            key, body = segment, new.copy()
-    if key is not None:
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([key], pa.int32()), "body": pa.array([body.tobytes()], pa.binary())})
-
-
-def build_filter(train: DataFrame, n: int, bits_per_token: int = BITS_PER_TOKEN, most_bits: int = MOST_BITS) -> np.ndarray:
-    """The filter over the texts (one column) of ``train`` with ``n`` tokens, as bytes."""
-    bits = min(most_bits, 1 << max(16, math.ceil(math.log2(max(1, n * bits_per_token)))))
-    parts = max(1, math.ceil(2 * n / (SEGMENTS * GROUP_GRAMS)))
-    grouped = _gram_parts(train, parts).repartition("segment", "part").sortWithinPartitions("segment", "part")
-    built = grouped.mapInArrow(_bits_of(bits), "segment int, body binary")
-    built = built.repartition("segment").sortWithinPartitions("segment").mapInArrow(_join_bits, "segment int, body binary")
-    table = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8)
-    for row in stage_table(built, "filter").toLocalIterator():  # SEGMENTS rows, bits / 8 bytes in all
-        table[row.segment] = np.frombuffer(row.body, np.uint8)
-    return table.reshape(-1)
+            levels = np.empty(len(keys), np.uint8)
+            levels[order] = probe(body, distinct)[np.cumsum(new) - 1]
+            ends = np.cumsum([len(k) for k in parts]).tolist()
+            for at in range(0, len(rows), 512):
+                some = range(at, min(at + 512, len(rows)))
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([rows[i][0] for i in some], pa.int64()), "segment": pa.array([segment] * len(some), pa.int32()),
+                    "levels": pa.array([pack(levels[ends[i - 1] if i else 0 : ends[i]]) for i in some], pa.binary()),
+                })
+
+    return run
+
+
+def _spread(rows: DataFrame, key: str, then: str) -> DataFrame:
+    """Rows by hash of ``key``, in tasks that are not joined by size as each byte is much work."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, key).sortWithinPartitions(key, then)
+
+
+def _grams(chunks: DataFrame, segments: int) -> DataFrame:
+    texts = chunks.select("chunk", "words", "ranks", "tokens", "lengths", "trained")
+    return _spread(texts.mapInArrow(_gram_rows(segments), "segment int, chunk long, keys binary, counts binary"), "segment", "chunk")
+
+
+def _most_tokens(texts: DataFrame) -> int:
+    """No less than the tokens of the texts (column t): each but the end has a byte and white space after it."""
+    return texts.agg(F.sum(F.floor((F.octet_length("t") + 1) / 2) + 1)).first()[0] or 0
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -287,26 +379,39 @@ def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     return keys[order], arrow.column("n").to_numpy()[order], least
 
 
-def train(docs: DataFrame, text: str = "text", bits_per_token: int = BITS_PER_TOKEN, most_bits: int = MOST_BITS,
-          head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the table of exact word counts."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(whole_text(text).alias("t"))
+def _learn(texts: DataFrame, head_words: int) -> tuple[Model, DataFrame]:
     counts = stage_table(word_counts(texts), "word-counts")
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = totals.n or 0, totals.v
-    head = _head(counts, head_words)
-    return Model(build_filter(texts, n, bits_per_token, most_bits), n, v, *head), counts
+    return Model(totals.n or 0, totals.v, *_head(counts, head_words)), counts
+
 
+def train(docs: DataFrame, text: str = "text", bits_per_token: int = BITS_PER_TOKEN, head_words: int = HEAD_WORDS,
+          group_grams: int = GROUP_GRAMS, chunk_tokens: int = FLUSH_TOKENS) -> tuple[Model, DataFrame]:
+    """The model of all rows of ``docs`` with its filter as a written table, and the table of exact word counts."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.lit(0).alias("doc_id"), F.lit(True).alias("trained"), whole_text(text).alias("t"))
+    model, counts = _learn(texts.select("t"), head_words)
+    segments, bits = sizes_of(model.n, _most_tokens(texts), bits_per_token, group_grams)
+    built = _grams(_chunks(texts, chunk_tokens), segments).mapInArrow(_by_segment(bits // segments, True), "segment int, body binary")
+    model.table = Filter(stage_table(built, "filter"), segments, bits)
+    return model, counts
 
-def score(docs: DataFrame, trained: Column, doc: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+
+def score(docs: DataFrame, trained: Column, doc: str = "doc_id", text: str = "text", bits_per_token: int = BITS_PER_TOKEN,
+          head_words: int = HEAD_WORDS, group_grams: int = GROUP_GRAMS, chunk_tokens: int = FLUSH_TOKENS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows where ``trained`` holds.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model, counts = train(docs.where(trained), text, **sizes)
+    model, counts = _learn(docs.where(trained).select(whole_text(text).alias("t")), head_words)
+    rows = docs.select(F.col(doc).alias("doc_id"), trained.alias("trained"), whole_text(text).alias("t"))
+    segments, bits = sizes_of(model.n, _most_tokens(rows), bits_per_token, group_grams)
+    chunks = _chunks(rows, chunk_tokens)
+    levels = _grams(chunks, segments).mapInArrow(_by_segment(bits // segments, False), "chunk long, segment int, levels binary")
+    bodies = chunks.select("chunk", F.lit(-1).alias("segment"), F.lit(None).cast("binary").alias("levels"), "words", "ranks", "tokens", "lengths", "ids", "trained")
+    probed = _spread(bodies.unionByName(levels, allowMissingColumns=True), "chunk", "segment")
     sent = spark.sparkContext.broadcast(model)
     fields = pa.schema([
         ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("scores", pa.list_(pa.float64())),
@@ -314,43 +419,60 @@ def score(docs: DataFrame, trained: Column, doc: str = "doc_id", text: str = "te
     ])
 
     def of(batches):
-        m, words, grid = sent.value, Words(), np.array(GRID)
-        whole = math.log10(m.n + 0.5 * (m.v + 1))
+        held, levels = None, []
         for batch in batches:
-            texts, flags = batch.column(batch.schema.get_field_index("t")).to_pylist(), batch.column(batch.schema.get_field_index("trained")).to_pylist()
-            for at in range(0, len(texts), 50):
-                some = texts[at : at + 50]
-                found, lengths = words.hashes(some)
-                ends = np.cumsum(lengths)
-                distinct, back = np.unique(found, return_inverse=True)
-                exact = m.exact(distinct)
-                single = np.where(exact >= 0, exact, VALUES[lookup(m.table, mix(distinct))])
-                before, _ = pairs_of(found, lengths)
-                place = np.searchsorted(distinct, before)
-                pair = np.minimum(VALUES[lookup(m.table, pair_hash(before, found))], np.minimum(single[place], single[back]))
-                known, base = exact[back], (single[back] + 0.5) / 10**whole
-                own = np.repeat(np.array(flags[at : at + 50], bool), lengths)
-                context = single[place]
-                share = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
-                left = np.divide(np.maximum(pair - 1, 0), context - 1, out=np.zeros(len(pair)), where=context > 1)
-                apart = np.maximum(single[back] - 1 + 0.5, 0.5) / 10**whole
-                log_base = np.where(known >= 0, np.log10(np.maximum(known, 0) + 0.5) - whole, 0.0)
-                starts = ends - lengths
-                scores = np.stack([np.add.reduceat(np.log10(s * share + (1 - s * (context > 0)) * base), starts) for s in grid], axis=1)
-                alone = np.stack([np.add.reduceat(np.where(own, np.log10(s * left + (1 - s * (context > 1)) * apart), 0.0), starts) for s in grid], axis=1)
-                rare = known < 0
-                yield pa.RecordBatch.from_arrays([
-                    *[column.slice(at, len(some)) for name, column in zip(batch.schema.names, batch.columns, strict=True) if name != "t"],
-                    pa.array(lengths), pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(log_base, starts)), pa.array(scores.tolist(), fields.field("scores").type),
-                    pa.array(alone.tolist(), fields.field("own").type),
-                    pa.array([found[a:b][rare[a:b]].view(np.int64) for a, b in zip(starts, ends, strict=True)], fields.field("rare").type),
-                ], names=["doc_id", "trained", *fields.names])
+            for i in range(batch.num_rows):
+                segment = batch.column(1)[i].as_py()
+                if segment >= 0:
+                    levels.append(batch.column(2)[i].as_py())
+                    continue
+                if held is not None:
+                    yield from chunk(held, levels)
+                held, levels = [batch.column(k)[i] for k in range(3, 9)], []
+        if held is not None:
+            yield from chunk(held, levels)
+
+    def chunk(held, levels):
+        m, grid = sent.value, np.array(GRID)
+        whole = math.log10(m.n + 0.5 * (m.v + 1))
+        distinct, tokens, sizes = chunk_tokens_of(*[x.as_py() for x in held[:4]])
+        ids, trained = held[4].values, held[5].values
+        keys, order, place = chunk_keys(distinct, tokens, sizes)
+        level = np.empty(len(keys), np.uint8)
+        level[order] = np.concatenate([unpack(x, "u1") for x in levels])
+        count = VALUES[level]
+        every = m.exact(distinct)
+        alone_of = np.where(every >= 0, every, count[: len(distinct)])
+        before = np.concatenate(([0], tokens[:-1]))
+        before[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = np.searchsorted(distinct, END)
+        pair_of = np.minimum(count[len(distinct) :][place], np.minimum(alone_of[before], alone_of[tokens]))
+        flags, stops = trained.to_pylist(), np.concatenate(([0], np.cumsum(sizes)))
+        for at in range(0, len(flags), 50):
+            lengths = sizes[at : at + 50]
+            part = slice(stops[at], stops[at + len(lengths)])
+            back, pair, context, found = tokens[part], pair_of[part], alone_of[before[part]], distinct[tokens[part]]
+            ends, single = np.cumsum(lengths), alone_of
+            known, base = every[back], (single[back] + 0.5) / 10**whole
+            own = np.repeat(np.array(flags[at : at + 50], bool), lengths)
+            share = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
+            left = np.divide(np.maximum(pair - 1, 0), context - 1, out=np.zeros(len(pair)), where=context > 1)
+            apart = np.maximum(single[back] - 1 + 0.5, 0.5) / 10**whole
+            log_base = np.where(known >= 0, np.log10(np.maximum(known, 0) + 0.5) - whole, 0.0)
+            starts = ends - lengths
+            scores = np.stack([np.add.reduceat(np.log10(s * share + (1 - s * (context > 0)) * base), starts) for s in grid], axis=1)
+            alone = np.stack([np.add.reduceat(np.where(own, np.log10(s * left + (1 - s * (context > 1)) * apart), 0.0), starts) for s in grid], axis=1)
+            rare = known < 0
+            yield pa.RecordBatch.from_arrays([
+                ids.slice(at, len(lengths)), trained.slice(at, len(lengths)),
+                pa.array(lengths), pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(log_base, starts)), pa.array(scores.tolist(), fields.field("scores").type),
+                pa.array(alone.tolist(), fields.field("own").type),
+                pa.array([found[a:b][rare[a:b]].view(np.int64) for a, b in zip(starts, ends, strict=True)], fields.field("rare").type),
+            ], names=["doc_id", "trained", *fields.names])
 
-    rows = docs.select(F.col(doc).alias("doc_id"), trained.alias("trained"), whole_text(text).alias("t"))
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, trained boolean, n_tokens long, n_known long, base double"
     kinds += ", scores array<double>, own array<double>, rare array<long>"
-    scored = rows.mapInArrow(of, kinds).withColumn("row", F.monotonically_increasing_id())
+    scored = probed.mapInArrow(of, kinds).withColumn("row", F.monotonically_increasing_id())
     scored = stage_table(scored, "scores")
     log_all = math.log10(model.n + 0.5 * (model.v + 1))
     # words that are not frequent: exact counts by an ordinary join; unknown ones have count 0
