@@ -35,9 +35,8 @@ from tidepool.sources import fixtures as fx  # noqa: E402
 try:
     import corpus_pipeline
     from tidepool.llm import queries as llm
-except ModuleNotFoundError as missing:  # these operators are an optional part; any other missing module is an error
-    if missing.name not in ("corpus_pipeline", "tidepool.llm"):
-        raise
+except ImportError as missing:  # these operators are an optional part, and so is what only they need
+    print(f"left out the queries of tidepool.llm and the pipeline: {missing}", file=sys.stderr)
     corpus_pipeline = llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as contract
@@ -13,6 +17,18 @@ def test_every_query_has_sql_unless_it_is_learned():
     assert len(own) == 57 and set(contract.oracle_sql()) & own == own - WITHOUT_SQL
 
 
+def test_own_queries_need_no_optional_module():
+    """Where a module of the optional part is missing, the queries of the rest are there and the reason is told."""
+    code = (
+        "import sys; sys.modules['duckdb'] = None\n"
+        f"sys.path.insert(0, {os.path.dirname(os.path.abspath(contract.__file__))!r})\n"
+        "import __spark_entry__ as c; print(len(c.queries()), len(c.oracle_sql()))"
+    )
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    own = [n for n in contract.queries() if n != "pipeline" and not n.startswith("op")]
+    assert run.stdout.split()[:1] == [str(len(own))] and "left out" in run.stderr, run.stderr
+
+
 def test_entry(spark):
     result = contract.entry(spark)
     assert result.columns == ["user_id", "item_id", "score", "rank"] and result.count() > 0
