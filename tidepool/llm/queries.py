@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, exact_dedup, langid, lm_bloom, mixing, pu_quality, simhash, syncmers, token_files, warc
+from tidepool.llm import bpe, exact_dedup, langid, lm_bloom, merkle, mixing, pu_quality, simhash, syncmers, token_files, warc
 from tidepool.llm.common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -80,19 +80,76 @@ def op10_duckdb_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(_table(spark, d, "documents"), bpe.read_ranks(spark, RANKS), public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Proofs of every document; where 7 divides the crc32 of the id, the row to verify has one more in n_chars."""
+    docs = _table(spark, d, "documents")
+    touched = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    claim = F.when(touched, merkle.leaf_hash(*[more if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
+    return merkle.verified(merkle.proofs(docs, claim=claim))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_closed_syncmers, op2_warc_salvage, op3_bloom_lm, op4_exact_dedup, op5_soft_mixing, op6_arrow_sequences, op7_pu_quality,
-        op8_nearest_centroid, op9_simhash_variants, op10_duckdb_bpe,
+        op8_nearest_centroid, op9_simhash_variants, op10_duckdb_bpe, op11_merkle_manifest,
     )
     return {f.__name__: f for f in chosen}
 
 
+#: crc32 of an ASCII text, as DuckDB has none: eight shifts for each byte.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8],
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+def _merkle_sql() -> str:
+    part = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    text = ["doc_id::VARCHAR", "source", "lang", "{n}::VARCHAR", "text"]
+    leaf = lambda n: "sha256(" + " || ".join(part.format(t.format(n=n)) for t in text) + ")"
+    return f"""WITH RECURSIVE leaves AS (
+          SELECT doc_id, coalesce('=' || lang, '-') AS g, {leaf('n_chars')} AS leaf,
+            CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS claim FROM documents),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY g) AS m FROM leaves),
+        up AS (
+          SELECT g, 0 AS lvl, idx, m, leaf AS h FROM placed
+          UNION ALL
+          SELECT g, lvl + 1, idx // 2, max(m + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE m > 1 GROUP BY g, lvl, idx // 2),
+        subs AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS m FROM up WHERE m = 1),
+        over_groups AS (
+          SELECT 0 AS lvl, idx, m, h FROM subs
+          UNION ALL
+          SELECT lvl + 1, idx // 2, max(m + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM over_groups WHERE m > 1 GROUP BY lvl, idx // 2),
+        steps AS (
+          SELECT p.doc_id, u.lvl, u.h, u.idx < (p.idx >> u.lvl) AS is_left FROM placed p JOIN up u ON u.g = p.g AND u.idx = xor(p.idx >> u.lvl, 1)
+          UNION ALL
+          SELECT p.doc_id, 1000 + o.lvl, o.h, o.idx < (s.idx >> o.lvl) FROM placed p JOIN subs s ON s.g = p.g
+          JOIN over_groups o ON o.idx = xor(s.idx >> o.lvl, 1)),
+        alone AS (
+          SELECT p.doc_id, u.lvl, '' AS h, true AS is_left FROM placed p JOIN up u ON u.g = p.g AND u.idx = (p.idx >> u.lvl) AND u.m > 1
+          UNION ALL
+          SELECT p.doc_id, 1000 + o.lvl, '', true FROM placed p JOIN subs s ON s.g = p.g JOIN over_groups o ON o.idx = (s.idx >> o.lvl) AND o.m > 1),
+        every AS (
+          SELECT a.doc_id, a.lvl, coalesce(s.h, '') AS h, coalesce(s.is_left, true) AS is_left
+          FROM alone a LEFT JOIN steps s ON s.doc_id = a.doc_id AND s.lvl = a.lvl),
+        paths AS (
+          SELECT doc_id, sha256(string_agg(h, '' ORDER BY lvl)) AS proof_sha256,
+            list(CASE WHEN is_left THEN {{'l': h, 'r': ''}} ELSE {{'l': '', 'r': h}} END ORDER BY lvl) AS path FROM every GROUP BY doc_id),
+        folded AS (
+          SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM over_groups WHERE m = 1) AS root,
+            coalesce(t.proof_sha256, sha256('')) AS proof_sha256,
+            list_reduce(list_prepend({{'l': p.claim, 'r': ''}}, coalesce(t.path, [])), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+          FROM placed p JOIN subs s ON s.g = p.g LEFT JOIN paths t ON t.doc_id = p.doc_id)
+        SELECT *, folded_root = root AS verified FROM folded"""
+
+
 _WHITE = r"[\x20\x09-\x0D]"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle_manifest": _merkle_sql(),
         "op4_exact_dedup": f"""WITH bare AS (
               SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g')) AS text_sha256
               FROM documents),
