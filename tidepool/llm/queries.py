@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, exact_dedup, langid, lm_bloom, merkle, mixing, pu_quality, simhash, syncmers, token_files, warc
+from tidepool.llm import bpe, exact_dedup, langid, lm_bloom, merkle, mixing, pu_quality, simhash, spelling, syncmers, token_files, vector_graph, warc
 from tidepool.llm.common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,10 +89,19 @@ def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return merkle.verified(merkle.proofs(docs, claim=claim))
 
 
+def op12_robust_graph(spark: SparkSession, d: str) -> DataFrame:
+    return vector_graph.groups(_table(spark, d, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_closed_syncmers, op2_warc_salvage, op3_bloom_lm, op4_exact_dedup, op5_soft_mixing, op6_arrow_sequences, op7_pu_quality,
-        op8_nearest_centroid, op9_simhash_variants, op10_duckdb_bpe, op11_merkle_manifest,
+        op8_nearest_centroid, op9_simhash_variants, op10_duckdb_bpe, op11_merkle_manifest, op12_robust_graph,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in chosen}
 
@@ -103,6 +112,40 @@ _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string
     lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
 
 
+#: The same of any text, by the hex digits of its UTF-8 bytes.
+_CRC_UTF8 = _CRC.replace(
+    "list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)",
+    "list_transform(regexp_extract_all(hex({0}), '..'), lambda c: ('0x' || c)::BIGINT)",
+)
+
+
+def _spelling_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE runs AS (
+          SELECT doc_id, translate(run, '{upper}', '{upper.lower()}') AS run, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+          WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+        hashed AS (SELECT *, {_CRC_UTF8.format("(doc_id::VARCHAR || ':' || run)")} AS h FROM runs),
+        words AS (
+          SELECT CASE WHEN h % {spelling.TYPO} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+            sum(n)::BIGINT AS n FROM hashed GROUP BY 1),
+        vocab AS (SELECT * FROM words WHERE n >= {spelling.LEAST_COUNT} AND length(word) >= {spelling.LEAST_LETTERS}),
+        cuts AS (
+          SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM vocab, range(1, 1000000) t(i) WHERE i <= length(word)),
+        pairs AS (
+          SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocab b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocab b ON a.rest = b.word),
+        best AS (
+          SELECT word, count(*) AS n_near, arg_min(other, row(-m, other)) AS other, max(m) AS m FROM pairs GROUP BY word),
+        formed AS (
+          SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.FORM_RATIO} * v.n THEN other END AS form,
+            CASE WHEN m >= {spelling.FORM_RATIO} * v.n THEN m END AS form_n FROM vocab v LEFT JOIN best b ON b.word = v.word),
+        led AS (SELECT word, word AS root FROM formed UNION ALL SELECT l.word, f.form FROM led l JOIN formed f ON f.word = l.root WHERE f.form IS NOT NULL),
+        ends AS (SELECT l.word, l.root FROM led l JOIN formed f ON f.word = l.root WHERE f.form IS NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON e.word = f.word"""
+
+
 def _merkle_sql() -> str:
     part = "coalesce(strlen({0}) || ':' || {0}, '-')"
     text = ["doc_id::VARCHAR", "source", "lang", "{n}::VARCHAR", "text"]
@@ -150,6 +193,16 @@ _WHITE = r"[\x20\x09-\x0D]"
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_merkle_manifest": _merkle_sql(),
+        "op12_robust_graph": """WITH RECURSIVE v AS (
+              SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+              WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            links AS (SELECT a.vec_id, b.vec_id AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              AND list_cosine_similarity(a.e, b.e) >= 0.95),
+            reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.other FROM reach r JOIN links l ON l.vec_id = r.other),
+            classes AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+            SELECT c.vec_id, count(l.other) AS n_links, component_id, c.vec_id = component_id AS kept
+            FROM classes c LEFT JOIN links l ON l.vec_id = c.vec_id GROUP BY c.vec_id, component_id""",
+        "op13_spelling_variants": _spelling_sql(),
         "op4_exact_dedup": f"""WITH bare AS (
               SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g')) AS text_sha256
               FROM documents),
