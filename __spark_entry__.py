@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidepool.config import RECENT_ITEMS, USER_LEG_WEIGHTS, Params  # noqa: E402
+from tidepool.config import ITEM_LEG_WEIGHTS, RECENT_ITEMS, USER_LEG_WEIGHTS, Params  # noqa: E402
 from tidepool.functions.scalars import epoch_to_timestamp, unit_vector  # noqa: E402
 from tidepool.operators import categories as cat  # noqa: E402
 from tidepool.operators import factors as fac  # noqa: E402
@@ -24,6 +24,7 @@ from tidepool.operators import neighbors as near  # noqa: E402
 from tidepool.operators import properties as prop  # noqa: E402
 from tidepool.operators import sequences as seq  # noqa: E402
 from tidepool.operators import textvec  # noqa: E402
+from tidepool.operators import vector_index as vindex  # noqa: E402
 from tidepool.operators.ranking import score_order, top_n  # noqa: E402
 from tidepool.plans import evaluate as ev  # noqa: E402
 from tidepool.plans import recommend as rec  # noqa: E402
@@ -44,7 +45,7 @@ QUERY_FACTORS = 16
 QUERY_ITERATIONS = 5
 EMBEDDING_WIDTH = 64
 SHORTLIST = 20
-FOREST_LEAF = 64
+INDEX_LEAF = 64
 
 
 # --- helpers ------------------------------------------------------------------------------------
@@ -284,13 +285,13 @@ def knn_cosine(spark, d):
 
 
 def knn_approx(spark, d):
-    return _neighbors(near.knn_forest(_unit_embeddings(spark, d), 10, leaf_rows=FOREST_LEAF))
+    return _neighbors(vindex.knn_index(_unit_embeddings(spark, d), 10, leaf_rows=INDEX_LEAF))
 
 
 def knn_approx_recall(spark, d):
-    """Whether the forest finds at least nine tenths of the exact neighbours, over all vectors."""
+    """Whether the index finds at least nine tenths of the exact neighbours, over all vectors."""
     exact = near.knn_exact(_unit_embeddings(spark, d), 10, EMBEDDING_WIDTH).select("item_id", "neighbor_id")
-    found = near.knn_forest(_unit_embeddings(spark, d), 10, leaf_rows=FOREST_LEAF).select("item_id", "neighbor_id", F.lit(1).alias("hit"))
+    found = vindex.knn_index(_unit_embeddings(spark, d), 10, leaf_rows=INDEX_LEAF).select("item_id", "neighbor_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["item_id", "neighbor_id"], "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
     return both.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_neighbors"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("recall_reached"))
 
@@ -443,6 +444,57 @@ def explain_recommendations(spark, d):
     )
 
 
+def explain_with_factors(spark, d):
+    """The same lists explained with the items that have factors from the click log, which are not all of them."""
+    lists = stage_table(_sequential(fx.order_events(spark, d), 5), "lists")
+    kinds = stage_table(item_categories(spark, d), "item-categories")
+    vectors, _ = _tfidf_rows(spark, d)
+    known = inter.interaction_matrix(fx.click_events(spark, d)).select("item_id").distinct()
+    rows = reports.explain_lists(lists, kinds, known, vectors.select("item_id"))
+    return rows.select(
+        "user_id", "item_id", _r("score", 8), _rank(), "category", "has_cf", "has_content", "has_category", "explanation"
+    )
+
+
+def _fixed_model(spark, d, events: DataFrame) -> Model:
+    """A whole model whose factors and item vectors need no training: embeddings whose numbers the ids leave."""
+    vectors = fx.embedding_vectors(spark, d)
+    n = vectors.count()
+    matrix = stage_table(inter.interaction_matrix(events), "matrix")
+
+    def of(key: str, place) -> DataFrame:
+        picked = matrix.select(key).distinct().withColumn("vec_id", F.pmod(place, F.lit(n)))
+        return picked.join(vectors.select(F.col("item_id").alias("vec_id"), "vec"), "vec_id").select(key, "vec")
+
+    tables = {
+        "user_index": inter.user_index(events), "item_index": inter.item_index(events), "matrix": matrix,
+        "user_factors": stage_table(of("user_id", F.col("user_id")), "fixed-factors"),
+        "item_factors": stage_table(of("item_id", F.col("item_id") * 7 + 3), "fixed-factors"),
+        "item_vectors": stage_table(textvec.normalize_vectors(of("item_id", F.col("item_id") * 11 + 5)), "fixed-vectors"),
+        "recent_items": stage_table(seq.recent_items(events, RECENT_ITEMS), "recent-items"),
+        "transitions": stage_table(seq.transition_probs(seq.transition_counts(events)), "transitions"),
+    }
+    return Model(Params(factors=EMBEDDING_WIDTH), tables, {"dimensions": EMBEDDING_WIDTH})
+
+
+def recommend_hybrid_fixed(spark, d):
+    """The whole hybrid recommendation, all legs and the blend, on fixed factors and vectors."""
+    events = fx.order_events(spark, d)
+    return _lists(_fixed_model(spark, d, events).recommend(_users(events), 10))
+
+
+def similar_items_hybrid_fixed(spark, d):
+    events = fx.order_events(spark, d)
+    return _similar(_fixed_model(spark, d, events).similar_items(events.select("item_id"), 10))
+
+
+def evaluate_hybrid_fixed(spark, d):
+    """Hybrid lists of a model that never saw the newest event of each user, judged on it."""
+    events = fx.click_events(spark, d)
+    trained = _fixed_model(spark, d, stage_table(ev.leave_one_out(events), "training-events"))
+    return _metrics(trained.evaluate(events))
+
+
 # --- evaluation and reports ---------------------------------------------------------------------
 
 
@@ -514,6 +566,7 @@ _QUERIES = (
     category_nodes, category_ancestors, category_similarity, category_similarity_lca, recommend_content,
     recommend_sequential, recommend_hybrid, similar_items_content, similar_items_hybrid, explain_recommendations,
     evaluate_hybrid, evaluate_count_empty, leave_one_out_split, evaluate_leave_one_out,
+    explain_with_factors, recommend_hybrid_fixed, similar_items_hybrid_fixed, evaluate_hybrid_fixed,
 )
 
 
@@ -683,13 +736,48 @@ us AS (SELECT user_id, e AS x FROM (SELECT DISTINCT user_id FROM matrix), size J
 its AS (SELECT item_id, e AS y FROM (SELECT DISTINCT item_id FROM matrix), size JOIN f ON vec_id = (item_id * 7 + 3) % c)"""
 
 
-def _judged(training: str, count_empty: bool) -> str:
-    valid = "known" if count_empty else "known AND listed"
-    return f"""{_last_cte("fx2", _FX2_TIME)},
-held AS (
+def _fixed_neighbors_cte(table: str, vector: str) -> str:
+    """Other items of ``table`` by the cosine of ``vector``, best first."""
+    return f"""{table}_near AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, similar_id) AS rank FROM (
+    SELECT a.item_id, b.item_id AS similar_id,
+           list_dot_product(a.{vector}, b.{vector}) / sqrt(list_dot_product(a.{vector}, a.{vector}) * list_dot_product(b.{vector}, b.{vector})) AS score
+    FROM {table} a JOIN {table} b ON a.item_id <> b.item_id))"""
+
+
+_FIXED_VECTORS = "vecs AS (SELECT item_id, e AS v FROM (SELECT DISTINCT item_id FROM matrix), size JOIN f ON vec_id = (item_id * 11 + 5) % c)"
+
+
+def _fixed_hybrid_cte(source: str, order: str) -> str:
+    """``hybrid``: ten items per user from the three legs, on fixed factors and vectors."""
+    weights = USER_LEG_WEIGHTS
+    best = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM"
+    return f"""{_matrix_cte(source)}, {_FIXED}, {_FIXED_VECTORS}, {_fixed_neighbors_cte('vecs', 'v')},
+{_recent_cte(source, order)}, {_transitions_cte(source, order)}, {_last_cte(source, order)}, {_sequential_cte(10)},
+cf_leg AS (
+  {best} (
+    SELECT us.user_id, its.item_id, list_dot_product(x, y) AS score FROM us CROSS JOIN its
+    LEFT JOIN matrix m ON m.user_id = us.user_id AND m.item_id = its.item_id WHERE m.item_id IS NULL)),
+content_leg AS (
+  {best} (
+    SELECT r.user_id, n.similar_id AS item_id, sum(n.score) AS score FROM recent r JOIN vecs_near n ON n.item_id = r.item_id AND n.rank <= 3
+    GROUP BY r.user_id, n.similar_id)),
+legs AS (
+  SELECT user_id, item_id, {weights['cf']}::DOUBLE * score AS part FROM cf_leg WHERE rank <= 10
+  UNION ALL SELECT user_id, item_id, {weights['content']}::DOUBLE * score FROM content_leg WHERE rank <= 10
+  UNION ALL SELECT user_id, item_id, {weights['sequential']}::DOUBLE * score FROM seq_lists),
+hybrid AS (
+  SELECT * FROM ({best} (SELECT user_id, item_id, sum(part) AS score FROM legs GROUP BY user_id, item_id)) WHERE rank <= 10)"""
+
+
+_HELD = """held AS (
   SELECT user_id, item_id FROM (
-    SELECT *, row_number() OVER (ORDER BY md5(user_id::VARCHAR || ':42'), user_id) AS draw FROM last_event WHERE n_events >= 2)
-  WHERE draw <= 1000 AND user_id IN (SELECT user_id FROM {training})),
+    SELECT *, row_number() OVER (ORDER BY md5(user_id::VARCHAR || ':42'), user_id) AS draw FROM {last} WHERE n_events >= 2)
+  WHERE draw <= 1000 AND user_id IN (SELECT user_id FROM {training}))"""
+
+
+def _judged(training: str, count_empty: bool) -> str:
+    return f"""{_last_cte("fx2", _FX2_TIME)}, {_HELD.format(last="last_event", training=training)},
 {_transitions_cte(training, _FX2_TIME)},
 start AS (
   SELECT user_id, item_id FROM (
@@ -699,7 +787,13 @@ lists AS (
   SELECT * FROM (
     SELECT s.user_id, p.next AS item_id, row_number() OVER (PARTITION BY s.user_id ORDER BY p.n DESC, p.next) AS rank
     FROM start s JOIN probs p ON p.cur = s.item_id) WHERE rank <= 10),
-judged AS (
+{_judged_lists(training, count_empty)}"""
+
+
+def _judged_lists(training: str, count_empty: bool) -> str:
+    """Metrics of ``lists`` on ``held``."""
+    valid = "known" if count_empty else "known AND listed"
+    return f"""judged AS (
   SELECT h.user_id, l.rank, h.user_id IN (SELECT user_id FROM lists) AS listed,
          h.item_id IN (SELECT item_id FROM {training}) AS known
   FROM held h LEFT JOIN lists l ON l.user_id = h.user_id AND l.item_id = h.item_id),
@@ -862,6 +956,34 @@ def _own_sql() -> dict[str, str]:
               || CASE WHEN category IS NOT NULL THEN '- Belongs to a category you''ve shown interest in' || chr(10) ELSE '' END AS explanation
             FROM seq_lists s LEFT JOIN kinds k ON k.item_id = s.item_id
             LEFT JOIN (SELECT DISTINCT item_id FROM tfidf) v ON v.item_id = s.item_id""",
+        "explain_with_factors": f"""WITH {_FX1}, {_FX2}, {_matrix_cte('fx2')}, {_transitions_cte('fx1', _FX1_TIME)}, {_last_cte('fx1', _FX1_TIME)},
+            {_sequential_cte(5)}, {_TFIDF}, {_CATEGORIES}
+            SELECT user_id, s.item_id, round(score, 8) AS score, rank, category, c.item_id IS NOT NULL AS has_cf, v.item_id IS NOT NULL AS has_content,
+              category IS NOT NULL AS has_category,
+              rank || '. Item: ' || s.item_id || ' (Score: ' || printf('%.4f', score) || ')' || chr(10)
+              || CASE WHEN category IS NOT NULL THEN 'Category: ' || category || chr(10) ELSE '' END
+              || 'Recommended because:' || chr(10)
+              || CASE WHEN c.item_id IS NOT NULL THEN '{reports.REASON_CF.rstrip()}' || chr(10) ELSE '' END
+              || CASE WHEN v.item_id IS NOT NULL THEN '- Has similar features to items you''ve shown interest in' || chr(10) ELSE '' END
+              || CASE WHEN category IS NOT NULL THEN '- Belongs to a category you''ve shown interest in' || chr(10) ELSE '' END AS explanation
+            FROM seq_lists s LEFT JOIN kinds k ON k.item_id = s.item_id
+            LEFT JOIN (SELECT DISTINCT item_id FROM tfidf) v ON v.item_id = s.item_id
+            LEFT JOIN (SELECT DISTINCT item_id FROM matrix) c ON c.item_id = s.item_id""",
+        "recommend_hybrid_fixed": f"""WITH {_FX1}, {_fixed_hybrid_cte('fx1', _FX1_TIME)}
+            SELECT user_id, item_id, round(score, 6) + 0.0 AS score, rank FROM hybrid""",
+        "similar_items_hybrid_fixed": f"""WITH {_FX1}, {_matrix_cte('fx1')}, {_FIXED}, {_FIXED_VECTORS},
+            {_fixed_neighbors_cte('vecs', 'v')}, {_fixed_neighbors_cte('its', 'y')},
+            legs AS (
+              SELECT item_id, similar_id, {ITEM_LEG_WEIGHTS['cf']}::DOUBLE * score AS part FROM its_near WHERE rank <= 10
+              UNION ALL SELECT item_id, similar_id, {ITEM_LEG_WEIGHTS['content']}::DOUBLE * score FROM vecs_near WHERE rank <= 10),
+            mixed AS (SELECT item_id, similar_id, sum(part) AS score FROM legs GROUP BY item_id, similar_id)
+            SELECT item_id, similar_id, round(score, 6) + 0.0 AS score, rank FROM (
+              SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, similar_id) AS rank FROM mixed) WHERE rank <= 10""",
+        "evaluate_hybrid_fixed": f"""WITH {_FX2}, {_LOO}, whole_last AS (SELECT * FROM (
+              SELECT user_id, item_id, count(*) OVER (PARTITION BY user_id) AS n_events,
+                row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, tb1 DESC, item_id DESC) AS back FROM fx2) WHERE back = 1),
+            {_HELD.format(last="whole_last", training="loo")}, {_fixed_hybrid_cte('loo', _FX2_TIME)},
+            lists AS (SELECT user_id, item_id, rank FROM hybrid), {_judged_lists('loo', False)}""",
         "holdout_last_event": f"WITH {_FX1}, {_last_cte('fx1', _FX1_TIME)} SELECT user_id, item_id, n_events FROM last_event WHERE n_events >= 2",
         "leave_one_out_split": f"""WITH {_FX1} SELECT user_id, item_id, event, {time}, tb1, tb2::BIGINT AS tb2 FROM (
               SELECT *, count(*) OVER (PARTITION BY user_id) AS n,

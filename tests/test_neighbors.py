@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidepool.operators import neighbors as near
+from tidepool.operators import search
 from tidepool.operators.textvec import normalize_vectors
 
 WIDTH = 16
@@ -42,8 +43,8 @@ def unit():
 def test_exact_matches_brute_force_in_any_tiling(spark, unit, monkeypatch):
     df, expected = _frame(spark, unit), brute_force(unit, 7)
     assert _lists(near.knn_exact(df, 7, WIDTH)) == expected
-    monkeypatch.setattr(near, "_LEAST_TILE_ROWS", 20)
-    monkeypatch.setattr(near, "_SLICE_CELLS", 64)
+    monkeypatch.setattr(near, "_TASKS_PER_CORE", 5)
+    monkeypatch.setattr(search, "_SLICE_CELLS", 64)
     assert _lists(near.knn_exact(df, 7, WIDTH)) == expected
 
 

@@ -1,8 +1,8 @@
-"""Best matches by dot product: exact in tiles, approximate in a forest of random cuts.
+"""Best matches by dot product: exact by streaming, approximate in a forest of random cuts.
 
-Both end in the same task kernel. It gets the vectors of one tile (a block of requests and a block of
-candidates), multiplies them, and emits only the best ``n`` candidates of each request. The pairs of
-a tile exist in a task's memory, a slice at a time, and never as rows.
+The exact search keeps requests in a task's memory and lets candidates stream past them (``search``). The forest compares the
+vectors of a leaf in tiles. Pairs exist in a task's memory, a slice at a time, and never as rows; only the best ``n`` candidates of
+each request leave a task.
 """
 
 from __future__ import annotations
@@ -19,16 +19,20 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import angular_score
 from tidepool.operators.ranking import score_order, top_n
+from tidepool.operators.search import search_for
 from tidepool.session import stage_table
 
 DIGITS = 6
-_REQUEST, _CANDIDATE, _EXCLUDED = 0, 1, 2
-_TILE_BYTES = 32 << 20
+#: Kinds of rows, in the order in which a task reads them.
+_EXCLUDED, _REQUEST, _CANDIDATE = 0, 1, 2
 _SLICE_CELLS = 1 << 18  # keeps a slice of scores in the processor's cache
-_TILES_PER_CORE = 4
-_LEAST_TILE_ROWS = 256
-_MOST_PARTITIONS = 100_000
 _EXACT_INTEGERS = 2.0**53
+#: Vectors of a resident or broadcast block.
+_BLOCK_BYTES = 32 << 20
+_TASKS_PER_CORE = 2
+#: Up to so many requests are broadcast even if the candidates could be.
+_FEW_REQUESTS = 1024
+_MOST_PARTITIONS = 100_000
 _BITS_PER_ROUND = 8
 _SPLIT_ROUNDS = 7  # leaf paths of 7 x 8 bits fit into a bigint
 
@@ -119,12 +123,36 @@ def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
-def _blocks(rows: int, block_rows: float) -> int:
-    return max(1, math.ceil(rows / block_rows))
+def _row_bytes(df: DataFrame, width: int, sparse: bool) -> tuple[int, float]:
+    """Number of rows of ``df`` and bytes of a vector in a task's memory."""
+    if not sparse:
+        return df.count(), 8.0 * max(1, width)
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("vec.idx")).alias("terms")).first()
+    return found.n, 16.0 * max(1.0, found.terms or 1.0)
+
+
+def _arrow_block(df: DataFrame) -> bytes:
+    """A table of checked size as Arrow bytes, for a broadcast."""
+    table, out = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
-def _every_block(blocks: int):
-    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+def _as_table(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[bool, pa.Table]]:
+    """Pieces of sorted batches with one value of ``column`` each, and whether a new value begins."""
+    last = None
+    for batch in batches:
+        values = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield values[start] != last, pa.Table.from_batches([batch.slice(start, end - start)])
+                last = values[start]
 
 
 def best_matches(
@@ -141,49 +169,140 @@ def best_matches(
     """Exact ``<key, item, score, rank>``: the ``n`` candidates with the largest dot product per request.
 
     ``requests<key, vec>`` and ``candidates<item, vec>`` have unique ids; ``vec`` is ``array<double>`` of
-    ``width`` numbers or ``struct<idx, w>`` with indices below ``width``. ``exclude<key, item>`` pairs are
+    ``width`` numbers or ``struct<idx, w>`` of non-negative weights (then ``positive_only`` is asked for). ``exclude<key, item>`` pairs are
     left out. Ranking is by score rounded to ``digits``, then by id.
 
-    Ids are hashed into blocks of a fixed byte size, every request block meets every candidate block in
-    one tile, and each excluded pair goes to the one tile it belongs to, so all tiles are alike in size
-    however popular an id is. Each tile yields at most ``n`` rows per request.
-    """
-    spark = requests.sparkSession
-    tile_rows = max(256, min(16_384, _TILE_BYTES // (8 * max(1, width))))
-    n_requests, n_candidates = requests.count(), candidates.count()
-    req_blocks, cand_blocks = _blocks(n_requests, tile_rows), _blocks(n_candidates, tile_rows)
-    wanted = _TILES_PER_CORE * spark.sparkContext.defaultParallelism
-    if req_blocks * cand_blocks < wanted:  # small input: cut finer, in squares, so that every core has work
-        side = math.sqrt(max(1, n_requests) * max(1, n_candidates) / wanted)
-        req_blocks = max(req_blocks, _blocks(n_requests, max(_LEAST_TILE_ROWS, side)))
-        cand_blocks = max(cand_blocks, _blocks(n_candidates, max(_LEAST_TILE_ROWS, side)))
+    A block of requests is resident in a task while candidates stream past it, and a running list per request is all
+    that leaves the task. Which side moves is decided by checked sizes:
+
+    - candidates of at most ``_BLOCK_BYTES`` are broadcast, each request moves once, and its list is final in its task;
+    - else requests of at most ``_BLOCK_BYTES`` are broadcast, candidates stay where they are, and the lists of the tasks are merged;
+    - else each request moves once to its block, and each candidate once to every request block; there is no copy of
+      a request. This work is requests x candidates and meant for asked items; ``vector_index`` answers all-item search.
 
+    An excluded pair moves once, to the request (or, where requests are broadcast, to the candidate) it belongs to.
+    """
+    sparse = requests.schema["vec"].dataType.typeName() == "struct"
+    if sparse and not positive_only:
+        raise ValueError("sparse rows are searched for positive scores only")
+    how = {"digits": digits, "drop_self": drop_self, "positive_only": positive_only}
+    (n_requests, request_bytes), (n_candidates, candidate_bytes) = (_row_bytes(df, width, sparse) for df in (requests, candidates))
+    tasks = _TASKS_PER_CORE * requests.sparkSession.sparkContext.defaultParallelism
+    if n_requests <= _FEW_REQUESTS and n_requests * request_bytes <= _BLOCK_BYTES < n_candidates * candidate_bytes:
+        return _past_resident_requests(requests, candidates, n, width, exclude, sparse, digits, how, tasks)
+    if n_candidates * candidate_bytes <= _BLOCK_BYTES:
+        return _past_resident_candidates(requests, candidates, n, width, exclude, sparse, how, max(tasks, math.ceil(n_requests * request_bytes / _BLOCK_BYTES)))
+    if n_requests * request_bytes <= _BLOCK_BYTES:
+        return _past_resident_requests(requests, candidates, n, width, exclude, sparse, digits, how, tasks)
+    return _past_request_blocks(requests, candidates, n, width, exclude, sparse, how, max(tasks, math.ceil(n_requests * request_bytes / _BLOCK_BYTES)))
+
+
+def _rows_by_kind(requests: DataFrame, exclude: DataFrame | None, candidates: DataFrame) -> DataFrame:
+    """Rows (kind, key, item, vec): hidden pairs, then requests."""
     key_type, item_type = _type(requests, "key"), _type(candidates, "item")
-    no_key, no_item = F.lit(None).cast(key_type).alias("key"), F.lit(None).cast(item_type).alias("item")
-    req = requests.select(
-        _block("key", req_blocks).alias("rb"), _every_block(cand_blocks).alias("cb"),
-        F.lit(_REQUEST).alias("kind"), "key", no_item, "vec",
-    )
-    cand = candidates.select(
-        _every_block(req_blocks).alias("rb"), _block("item", cand_blocks).alias("cb"),
-        F.lit(_CANDIDATE).alias("kind"), no_key, "item", "vec",
-    )
-    rows = req.unionByName(cand)
+    rows = requests.select(F.lit(_REQUEST).alias("kind"), "key", F.lit(None).cast(item_type).alias("item"), "vec")
+    if exclude is None:
+        return rows
+    no_vec = F.lit(None).cast(requests.schema["vec"].dataType).alias("vec")
+    return rows.unionByName(exclude.select(F.lit(_EXCLUDED).alias("kind"), F.col("key").cast(key_type), F.col("item").cast(item_type), no_vec))
+
+
+def _past_resident_candidates(requests, candidates, n, width, exclude, sparse, how, tasks) -> DataFrame:
+    block = requests.sparkSession.sparkContext.broadcast(_arrow_block(candidates.select("item", "vec")))
+    # a task holds as many requests as the candidates' share of memory; hidden pairs of a request are fewer than candidates
+    rows = _rows_by_kind(requests, exclude, candidates).repartition(tasks, "key").sortWithinPartitions("kind")
+    kind_of = search_for(sparse)
+
+    def answer(batches):
+        known, hidden, asked = _as_table(block.value), [], []
+        for _, piece in _runs(batches, "kind"):
+            (hidden if piece.column("kind")[0].as_py() == _EXCLUDED else asked).append(piece)
+        if not asked:
+            return
+        asked = pa.concat_tables(asked)
+        search = kind_of(asked.column("key"), asked.column("vec"), width, n, **how)
+        for piece in hidden:
+            search.hide(piece.column("key"), piece.column("item"))
+        for start in range(0, known.num_rows, search.chunk):
+            some = known.slice(start, search.chunk)
+            search.meet(some.column("item"), some.column("vec"))
+        found = search.best()
+        if found is not None:
+            yield found
+
+    return rows.mapInArrow(answer, f"key {_type(requests, 'key')}, item {_type(candidates, 'item')}, score double, rank int")
+
+
+def _past_resident_requests(requests, candidates, n, width, exclude, sparse, digits, how, tasks) -> DataFrame:
+    block = requests.sparkSession.sparkContext.broadcast(_arrow_block(requests.select("key", "vec")))
+    key_type, item_type = _type(requests, "key"), _type(candidates, "item")
+    rows = candidates.select(F.lit(_CANDIDATE).alias("kind"), F.lit(None).cast(key_type).alias("key"), "item", "vec")
     if exclude is not None:
-        no_vec = F.lit(None).cast(requests.schema["vec"].dataType).alias("vec")
-        rows = rows.unionByName(
-            exclude.select(
-                _block("key", req_blocks).alias("rb"), _block("item", cand_blocks).alias("cb"),
-                F.lit(_EXCLUDED).alias("kind"), F.col("key").cast(key_type), F.col("item").cast(item_type), no_vec,
-            )
-        )
-    kernel = _tile_kernel(n, width, digits, drop_self, positive_only)
-    # A tile is little data but much work, so the number of partitions is set here, not by data size.
-    rows = rows.repartition(min(_MOST_PARTITIONS, req_blocks * cand_blocks), "rb", "cb")
-    tops = rows.groupBy("rb", "cb").applyInArrow(kernel, f"key {key_type}, item {item_type}, score double")
+        no_vec = F.lit(None).cast(candidates.schema["vec"].dataType).alias("vec")
+        hidden = exclude.select(F.lit(_EXCLUDED).alias("kind"), F.col("key").cast(key_type), F.col("item").cast(item_type), no_vec)
+        rows = rows.unionByName(hidden).repartition(tasks, "item").sortWithinPartitions("kind")
+    kind_of = search_for(sparse)
+
+    def answer(batches):
+        asked = _as_table(block.value)
+        search = kind_of(asked.column("key"), asked.column("vec"), width, n, **how)
+        for _, piece in _runs(batches, "kind"):
+            if piece.column("kind")[0].as_py() == _EXCLUDED:
+                search.hide(piece.column("key"), piece.column("item"))
+            else:
+                search.meet(piece.column("item"), piece.column("vec"))
+        found = search.best()
+        if found is not None:
+            yield found
+
+    tops = rows.mapInArrow(answer, f"key {key_type}, item {item_type}, score double, rank int").drop("rank")
     return top_n(tops, ["key"], score_order("score", "item", digits), n)
 
 
+def answer_groups(group: str, width: int, n: int, sparse: bool, how: dict):
+    """For rows sorted by ``group`` and kind: the running lists of the requests of each group after its candidates have streamed past."""
+    kind_of = search_for(sparse)
+
+    def answer(batches):
+        def done(search):
+            found = None if search is None else search.best()
+            return [] if found is None else [found]
+
+        search, hidden, held = None, [], []
+        for new, piece in _runs(batches, group):
+            if new:
+                yield from done(search)
+                search, hidden, held = None, [], []
+            for _, part in _runs(piece.to_batches(), "kind"):
+                kind = part.column("kind")[0].as_py()
+                if kind == _EXCLUDED:
+                    hidden.append(part)
+                elif kind == _REQUEST:
+                    held.append(part)
+                elif held:
+                    if search is None:
+                        block = pa.concat_tables(held)
+                        search = kind_of(block.column("key"), block.column("vec"), width, n, **how)
+                        for pairs in hidden:
+                            search.hide(pairs.column("key"), pairs.column("item"))
+                        hidden = []
+                    search.meet(part.column("item"), part.column("vec"))
+        yield from done(search)
+
+    return answer
+
+
+def _past_request_blocks(requests, candidates, n, width, exclude, sparse, how, blocks) -> DataFrame:
+    asked = _rows_by_kind(requests, exclude, candidates)
+    asked = asked.select(_block("key", blocks).alias("rb"), *asked.columns)
+    no_key = F.lit(None).cast(_type(requests, "key")).alias("key")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb")
+    rows = asked.unionByName(candidates.select(every, F.lit(_CANDIDATE).alias("kind"), no_key, "item", "vec"))
+    rows = rows.repartition(min(_MOST_PARTITIONS, blocks), "rb").sortWithinPartitions("rb", "kind")
+    schema = f"key {_type(requests, 'key')}, item {_type(candidates, 'item')}, score double, rank int"
+    return rows.mapInArrow(answer_groups("rb", width, n, sparse, how), schema)
+
+
 def copy_groups(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``members<item_id, rep>`` and ``distinct<rep, vec>``: items with equal vectors share the smallest id."""
     keyed = stage_table(vectors.select("item_id", "vec", F.sha2(F.col("vec").cast("string"), 256).alias("print")), "vector-prints")

@@ -11,6 +11,7 @@ from tidepool.config import NEIGHBORS_PER_RECENT, Params
 from tidepool.functions.scalars import unit_vector
 from tidepool.operators.interactions import known_only
 from tidepool.operators.neighbors import best_matches, knn_exact, knn_forest
+from tidepool.operators.vector_index import HEADS, VectorIndex
 from tidepool.plans import recommend as rec
 from tidepool.plans.evaluate import evaluate_lists
 from tidepool.plans.reports import category_performance, explain_lists, plain_lists, user_reports
@@ -19,6 +20,7 @@ from tidepool.session import stage_table
 COMPONENTS = (
     "user_index", "item_index", "matrix", "sequences", "recent_items", "latest_properties", "item_texts", "item_categories",
     "vocabulary", "item_vectors", "category_nodes", "category_similarity", "user_factors", "item_factors", "transitions",
+    "index_nodes", "index_entries", "index_homes",
 )
 
 
@@ -45,6 +47,9 @@ class Model:
         return self.similar_items(self._one("item_id", item_id), n, method)
 
     def get_item_neighbors(self, item_id, n: int = 10) -> DataFrame:
+        index = self.index()
+        if index is not None and n < HEADS:
+            return index.neighbors_of(item_id, n)
         return self.item_neighbors(self._one("item_id", item_id), n)
 
     # --- users -------------------------------------------------------------------------------
@@ -90,11 +95,19 @@ class Model:
 
     # --- items -------------------------------------------------------------------------------
 
+    def index(self) -> VectorIndex | None:
+        """The index saved by the training, if the model was trained with one."""
+        names = [f"index_{table}" for table in VectorIndex.TABLES]
+        return VectorIndex(*[self.tables[name] for name in names], self.summary["index"]) if self.has(*names) else None
+
     def item_neighbors(self, requests: DataFrame, n: int = 10) -> DataFrame:
         """``<item_id, neighbor_id, score, rank>`` by content; unknown items get no rows."""
         if not self.has("item_vectors"):
             return self._nothing().select("item_id", F.col("item_id").alias("neighbor_id"), "score", "rank")
         vectors = self.tables["item_vectors"]
+        index = self.index()
+        if index is not None and n < HEADS:
+            return index.neighbors(requests, n)
         if self.params.neighbor_search == "forest":
             return knn_forest(vectors, n).join(requests.select("item_id").distinct(), "item_id", "left_semi")
         return knn_exact(vectors, n, self.summary["dimensions"], requests)

@@ -12,6 +12,7 @@ from tidepool.operators import interactions as inter
 from tidepool.operators import properties as prop
 from tidepool.operators import sequences as seq
 from tidepool.operators import textvec
+from tidepool.operators import vector_index
 from tidepool.plans.model import COMPONENTS, Model
 from tidepool.sources.artifacts import ArtifactStore, combined, fingerprint
 
@@ -25,6 +26,7 @@ class Trainer:
         self.store = ArtifactStore(spark, folder)
         self.reuse = reuse
         self.tables: dict[str, DataFrame] = {}
+        self.index_record: dict | None = None
 
     def _stage(self, name: str, print_: str, compute) -> DataFrame:
         self.tables[name] = self.store.stage(name, print_, compute, self.reuse)
@@ -62,10 +64,27 @@ class Trainer:
             "vocabulary", vocab_print,
             lambda: textvec.vocabulary(textvec.term_counts(terms), n_docs, p.min_df, p.max_df),
         )
-        self._stage(
-            "item_vectors", combined("vectors", vocab_print, p.dimensions),
-            lambda: textvec.svd_item_vectors(terms, vocab, p.dimensions)[0],
-        )
+        vectors_print = combined("vectors", vocab_print, p.dimensions)
+        vectors = self._stage("item_vectors", vectors_print, lambda: textvec.svd_item_vectors(terms, vocab, p.dimensions)[0])
+        if p.neighbor_search == "index":
+            self._neighbor_index(vectors, combined("index", vectors_print))
+
+    def _neighbor_index(self, vectors: DataFrame, print_: str) -> None:
+        """Tree, entries and homes of the neighbour index; its record is written last, so a run that breaks off leaves none."""
+        names = {table: f"index_{table}" for table in vector_index.VectorIndex.TABLES}
+        record = self.store.read_record("index") if self.reuse else None
+        if record is not None and record["fingerprint"] == print_:
+            for name in names.values():
+                self._stage(name, print_, lambda: self.tables[name])
+        else:
+            self.store.write_record("index", {"fingerprint": None})
+            built = vector_index.build(vectors)
+            for table, name in names.items():
+                partitions = vector_index.VectorIndex.PARTITIONS.get(table, ())
+                self.tables[name] = self.store.save(name, getattr(built, table), print_, partitions)
+            record = {"fingerprint": print_, "index": built.record}
+            self.store.write_record("index", record)
+        self.index_record = record["index"]
 
     def _category_tree(self, tree: DataFrame) -> None:
         source = fingerprint(tree)
@@ -124,7 +143,7 @@ class Trainer:
         return self._finish()
 
     def _finish(self) -> Model:
-        summary = model_summary(self.params, self.tables)
+        summary = model_summary(self.params, self.tables) | ({"index": self.index_record} if self.index_record else {})
         self.store.write_record("model", {"params": self.params.as_dict(), "summary": summary, "components": sorted(self.tables)})
         return Model(self.params, self.tables, summary)
 

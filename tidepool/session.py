@@ -69,16 +69,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage_table(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
+def stage_table(df: DataFrame, label: str, schema: StructType | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The table cuts the lineage, survives lost executors, is computed once however often it is used,
     and gives the next join real size statistics and a plain scan below its shuffle, which is what
     adaptive execution needs to split a skewed join key. ``schema`` reads the columns back as other
-    types with the same stored form.
+    types with the same stored form. ``partition_by`` columns become folders.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     _STAGED.append(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 

@@ -64,9 +64,9 @@ class ArtifactStore:
         record = self.read_record(name)
         return None if record is None else self._open(record)
 
-    def save(self, name: str, df: DataFrame, print_: str) -> DataFrame:
+    def save(self, name: str, df: DataFrame, print_: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         record = {"fingerprint": print_, "schema": _ddl(df), "version": f"{name}/{uuid.uuid4().hex}"}
-        df.write.parquet(self._path(record["version"]))
+        df.write.partitionBy(*partition_by).parquet(self._path(record["version"]))
         self.write_record(name, record)
         return self._open(record)
 
