@@ -27,8 +27,6 @@ from tidepool.session import stage_table
 
 #: Of 31 bits: with fewer, long texts would hit told places by the hashes of other words.
 PLACES = (1 << 31) - 1
-#: Told places are looked up by slot; of two in one slot the one of more labelled texts is told.
-SLOTS = 1 << 18
 #: A place is told apart if the share of a domain's texts that have it differs from that of the rest by this many standard errors.
 LEAST_Z = 6.0
 #: ... if place and domain correlate by as much, whatever the number of texts, ...
@@ -84,7 +82,8 @@ def constants(values: list, kind: str) -> Column:
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc: str = "doc_id", text: str = "text") -> Classifier:
     """Naive Bayes over the places that a text has; ``labelled`` has doc_id and domain.
 
-    Only the told places, at most ``SLOTS``, reach the driver.
+    Only the told places reach the driver: a told one stands in about a hundredth of a domain's texts at least, so a hundred times the
+    distinct words of an average text bound their number, whatever the number of texts.
     """
     name = spare(docs, "domain")
     asked = labelled.where(F.col("domain").isin(domains)).select(F.col("doc_id").alias(doc), F.col("domain").alias(name)).distinct()
@@ -105,8 +104,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc: str = "
             own, rest = F.col(f"n{i}") / n[i], (F.col("n") - F.col(f"n{i}")) / (total - n[i])
             error = share * (1 - share) * (1 / n[i] + 1 / (total - n[i]))
             told |= (own >= LEAST_RATIO * rest) & ((own - rest) * (own - rest) >= max(LEAST_Z**2, LEAST_PHI**2 * total) * error)
-    best = found.where(told).groupBy((F.col("place") % SLOTS).alias("slot")).agg(F.max(F.struct("n", "place", *[f"n{i}" for i in range(len(domains))])).alias("r"))
-    rows = sorted(best.select("r.*").collect(), key=lambda r: r.place)
+    rows = sorted(found.where(told).collect(), key=lambda r: r.place)
     chance = np.array([[(r[f"n{i}"] + 0.5) / (n[i] + 1) for r in rows] for i in range(len(domains))]).reshape(len(domains), len(rows))
     weight = np.log(chance) - np.log(chance[:1])
     is_told, _ = _lookup([r.place for r in rows])
@@ -116,13 +114,40 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc: str = "
     return Classifier(list(domains), base, [r.place for r in rows], weight.tolist())
 
 
+def two_slots(places: list[int]) -> list[list[int]]:
+    """Two tables of equal length with each place in its slot of one of them (p % length, or p // length % length); -1 is free."""
+    size = 16
+    while size < 4 * len(places):
+        size *= 2
+    while True:
+        tables = [[-1] * size, [-1] * size]
+        for place in places:
+            which = 0
+            # a place that finds its slot taken moves the other one to its second slot, and so on
+            for _ in range(64):
+                slot = place % size if which == 0 else place // size % size
+                place, tables[which][slot] = tables[which][slot], place
+                if place < 0:
+                    break
+                which = 1 - which
+            if place >= 0:
+                break
+        else:
+            return tables
+        size *= 2
+
+
 def _lookup(places: list[int]):
-    """Two functions of a place: whether it is told, and the number of a told one from 1."""
-    number = np.zeros(SLOTS, int)
-    number[np.array(places, int) % SLOTS] = np.arange(1, len(places) + 1)
-    numbers, told = constants(number.tolist(), "int"), constants([-1, *places], "int")
-    number_of = lambda p: F.get(numbers, p % SLOTS)
-    return lambda p: F.get(told, number_of(p)) == p, number_of
+    """Two functions of a place: whether it is told, and the number of a told one from 1; the tables grow with the told places alone."""
+    tables = two_slots(places)
+    number = {p: i for i, p in enumerate(places, 1)} | {-1: 0}
+    size = len(tables[0])
+    told = [constants(t, "int") for t in tables]
+    numbers = [constants([number[p] for p in t], "int") for t in tables]
+    slots = [lambda p: p.bitwiseAND(F.lit(size - 1)), lambda p: F.shiftright(p, size.bit_length() - 1).bitwiseAND(F.lit(size - 1))]
+    hit = [lambda p, k=k: F.get(told[k], slots[k](p)) == p for k in (0, 1)]
+    number_of = lambda p: F.when(hit[0](p), F.get(numbers[0], slots[0](p))).otherwise(F.get(numbers[1], slots[1](p)))
+    return lambda p: hit[0](p) | hit[1](p), number_of
 
 
 def posterior(text: Column, model: Classifier) -> Column:
