@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidepool.operators import sequences as seq
-from tidepool.operators.skew import SplitPolicy, slice_heavy
+from tidepool.operators.stitched import followers, places, stitch
 from tidepool.plans.recommend import sequential_lists
 
 A, B, C = 1, 2, 3
-TINY = SplitPolicy(comfortable_rows=7, max_heavy=50, grid=20)
+ORDER = ["ts", "item_id", "event"]
 
 
 def test_transition_counts_and_probabilities(events):
@@ -45,17 +45,31 @@ def brute_force(log):
     return history, pairs
 
 
-def test_heavy_user_is_cut_and_results_stay_whole(events, skewed):
-    log = events(skewed)
-    sliced = slice_heavy(log, "user_id", "ts", TINY)
-    assert sliced.has_heavy
-    sizes = sliced.rows.groupBy("user_id", "slice").count()
-    assert sizes.agg(F.max("count")).first()[0] < 120 / 4
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_any_ranges_give_whole_results(events, skewed, ranges):
+    walked = stitch(events(skewed), "user_id", "item_id", ORDER, ranges)
     history, pairs = brute_force(skewed)
-    expected = sorted((u, p, i) for u, items in history.items() for p, i in enumerate(items, 1))
-    assert rows(seq.user_sequences(log, TINY)) == expected == rows(seq.user_sequences(log))
-    expected = sorted((a, b, n) for (a, b), n in pairs.items())
-    assert rows(seq.transition_counts(log, TINY)) == expected == rows(seq.transition_counts(log))
+    assert rows(places(walked)) == sorted((u, i, p) for u, items in history.items() for p, i in enumerate(items, 1))
+    assert rows(followers(walked).groupBy("cur", "next").count()) == sorted((a, b, n) for (a, b), n in pairs.items())
+
+
+def test_a_user_with_half_of_all_rows_at_one_time_is_spread(events):
+    """Equal keys, times and items: only the tie can part them."""
+    log = [(7, A, "view", 5)] * 300 + [(7, B, "view", 5)] * 100 + [(k, C, "view", k % 3) for k in range(400)]
+    walked = stitch(events(log), "user_id", "item_id", ORDER, 16)
+    sizes = walked.rows.where("key = 7").groupBy("part").count()
+    assert sizes.count() >= 6 and sizes.agg(F.max("count")).first()[0] <= 120
+    history, pairs = brute_force(log)
+    assert rows(places(walked)) == sorted((u, i, p) for u, items in history.items() for p, i in enumerate(items, 1))
+    assert rows(followers(walked).groupBy("cur", "next").count()) == sorted((a, b, n) for (a, b), n in pairs.items())
+
+
+def test_null_users_and_items_and_no_rows(spark, events):
+    frame = spark.createDataFrame([(None, 1, 1), (None, None, 2), (None, 3, 3), (5, 4, 1)], "user_id long, item_id long, ts int")
+    walked = stitch(frame, "user_id", "item_id", ["ts"], 2)
+    assert rows(followers(walked).where("cur IS NULL")) == [(None, 3)]
+    assert sorted(places(walked).select("place").toPandas()["place"]) == [1, 1, 2, 3]
+    assert rows(seq.user_sequences(events([]))) == [] == rows(seq.transition_counts(events([])))
 
 
 def test_row_order_and_partitions_do_not_matter(events, skewed):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.ranking import top_n
-from tidepool.operators.skew import DEFAULT_POLICY, SplitPolicy, slice_heavy, slice_starts
+from tidepool.operators.stitched import followers, places, stitch
 from tidepool.session import stage_table
 
 _ORDER = ("ts", "tb1", "tb2", "item_id", "event")
@@ -21,41 +21,20 @@ def event_key(events: DataFrame):
     return F.struct(*event_order(events))
 
 
-def user_sequences(events: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
+def user_sequences(events: DataFrame) -> DataFrame:
     """``<user_id, pos, item_id>``, pos from 1 in time order; all event types, repeats kept."""
-    order = event_order(events)
-    sliced = slice_heavy(events.select("user_id", *order), "user_id", "ts", policy)
-    window = Window.partitionBy("user_id", "slice").orderBy(*order)
-    rows = sliced.rows.withColumn("pos", F.row_number().over(window).cast("long"))
-    if sliced.has_heavy:
-        starts = F.broadcast(slice_starts(sliced, "user_id"))
-        rows = rows.join(starts, ["user_id", "slice"], "left").withColumn(
-            "pos", F.col("pos") + F.coalesce("rows_before", F.lit(0))
-        )
-    return rows.select("user_id", "pos", "item_id")
-
-
-def adjacent_pairs(events: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
+    walked = stitch(events, "user_id", "item_id", event_order(events))
+    return places(walked).select(F.col("key").alias("user_id"), F.col("place").alias("pos"), F.col("value").alias("item_id"))
+
+
+def adjacent_pairs(events: DataFrame) -> DataFrame:
     """One ``<cur, next>`` row per two consecutive events of a user."""
-    order = event_order(events)
-    sliced = slice_heavy(events.select("user_id", *order), "user_id", "ts", policy)
-    window = Window.partitionBy("user_id", "slice").orderBy(*order)
-    pairs = sliced.rows.select(F.col("item_id").alias("cur"), F.lead("item_id").over(window).alias("next"))
-    if sliced.has_heavy:
-        key = event_key(events)
-        ends = (
-            sliced.rows.where("slice > 0")
-            .groupBy("user_id", "slice")
-            .agg(F.min_by("item_id", key).alias("head"), F.max_by("item_id", key).alias("cur"))
-        )
-        following = F.lead("head").over(Window.partitionBy("user_id").orderBy("slice"))
-        pairs = pairs.unionByName(ends.select("cur", following.alias("next")))
-    return pairs.where(F.col("next").isNotNull())
-
-
-def transition_counts(events: DataFrame, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
+    return followers(stitch(events, "user_id", "item_id", event_order(events)))
+
+
+def transition_counts(events: DataFrame) -> DataFrame:
     """``<cur, next, n>``; a self-transition counts like any other."""
-    return adjacent_pairs(events, policy).groupBy("cur", "next").agg(F.count(F.lit(1)).alias("n"))
+    return adjacent_pairs(events).groupBy("cur", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def transition_probs(counts: DataFrame) -> DataFrame:
