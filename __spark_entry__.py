@@ -30,8 +30,9 @@ from tidepool.plans import evaluate as ev  # noqa: E402
 from tidepool.plans import recommend as rec  # noqa: E402
 from tidepool.plans import reports  # noqa: E402
 from tidepool.plans.model import Model  # noqa: E402
-from tidepool.session import stage_table  # noqa: E402
+from tidepool.session import stage_csv, stage_table  # noqa: E402
 from tidepool.sources import fixtures as fx  # noqa: E402
+from tidepool.sources import tables  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -143,17 +144,33 @@ def _sequential(events: DataFrame, n: int = 10) -> DataFrame:
 # --- scans and projections ----------------------------------------------------------------------
 
 
+def _epoch_us(name: str = "ts"):
+    since = f"{name} - TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+    whole = f"extract(DAY FROM {since}) * 86400L + extract(HOUR FROM {since}) * 3600 + extract(MINUTE FROM {since}) * 60"
+    return (F.expr(whole) * 1_000_000 + (F.expr(f"extract(SECOND FROM {since})") * 1_000_000).cast("long")).alias("timestamp")
+
+
 def scan_events(spark, d):
-    return fx.click_events(spark, d).select("user_id", "item_id", "event", _time(), "tb1")
+    """The event log through the CSV reader."""
+    log = fx.click_events(spark, d)
+    named = log.select(F.col("user_id").alias("visitorid"), F.col("item_id").alias("itemid"), "event", _epoch_us(), F.col("tb1").alias("event_id"))
+    read = tables.read_events(spark, stage_csv(named, "events-csv"), "us", "csv", tiebreak=["event_id"])
+    return read.select("user_id", "item_id", "event", _time(), "tb1")
 
 
 def scan_properties(spark, d):
-    both = fx.part_properties(spark, d).unionByName(fx.line_properties(spark, d), allowMissingColumns=True)
+    """Two property files through the CSV reader, of which one has no time."""
+    plain = fx.part_properties(spark, d).select(F.col("item_id").alias("itemid"), "property", "value")
+    timed = fx.line_properties(spark, d).select(F.col("item_id").alias("itemid"), "property", "value", _epoch_us(), "tb1", "tb2")
+    paths = [stage_csv(plain, "properties-csv"), stage_csv(timed, "properties-csv")]
+    both = tables.read_properties(spark, paths, "us", "csv", tiebreak=["tb1", "tb2"])
     return both.select("item_id", "property", "value", _time(), *[F.col(c).cast("string").alias(c) for c in ("tb1", "tb2")])
 
 
 def scan_category_tree(spark, d):
-    return fx.part_tree(spark, d)
+    """The category tree through the CSV reader."""
+    named = fx.part_tree(spark, d).select(F.col("child").alias("categoryid"), F.col("parent").alias("parentid"))
+    return tables.read_tree(spark, stage_csv(named, "tree-csv"), "csv")
 
 
 def convert_timestamps(spark, d):

@@ -34,7 +34,7 @@ def test_entry(spark):
     assert result.columns == ["user_id", "item_id", "score", "rank"] and result.count() > 0
 
 
-@pytest.mark.parametrize("name", ["interaction_matrix", "transition_probs", "category_performance_report", "knn_cosine", "recommend_content"])
+@pytest.mark.parametrize("name", ["interaction_matrix", "transition_probs", "category_performance_report", "knn_cosine", "recommend_content", "scan_events", "recommend_hybrid_fixed"])
 def test_spark_equals_sql(spark, name):
     import duckdb
 

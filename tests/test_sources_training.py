@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 import pytest
@@ -9,10 +10,11 @@ from tidepool.config import Params
 from tidepool.operators import factors as fac
 from tidepool.operators import interactions as inter
 from tidepool.plans.evaluate import leave_one_out
+from tidepool.plans.model import Model
 from tidepool.plans.training import Trainer, load_model
 from tidepool.session import shared_folder
 from tidepool.sources import tables
-from tidepool.sources.artifacts import fingerprint
+from tidepool.sources.artifacts import ArtifactStore, fingerprint
 
 SMALL = Params(factors=6, iterations=3, dimensions=4)
 
@@ -77,6 +79,15 @@ def test_seconds_and_other_column_names(spark, tmp_path):
         tables.read_events(spark, str(tmp_path / "e.csv"))
 
 
+def test_bad_cells_are_left_out_and_listed(spark, tmp_path):
+    path = str(tmp_path / "bad.csv")
+    (tmp_path / "bad.csv").write_text("timestamp,visitorid,event,itemid\n1612345678000,1,view,2\nyesterday,x,view,3\n1612345678000,,view,4\n1612345678000,5,view,6.5\n")
+    assert rows(tables.read_events(spark, path).select("item_id")) == [(2,), (4,)]
+    bad = tables.quarantined(spark, path, tables.events_schema())
+    assert rows(bad.select("column", "value")) == [("itemid", "6.5"), ("timestamp", "yesterday"), ("visitorid", "x")]
+    assert bad.select("line").distinct().count() == 2 and bad.where(F.col("line").contains("yesterday")).count() == 2
+
+
 def test_one_property_file_in_two_parts_is_the_same(spark, files, inputs):
     whole = inputs[1]
     swapped = tables.read_properties(spark, [str(files / "properties2.csv"), None, str(files / "properties1.csv")])
@@ -85,6 +96,44 @@ def test_one_property_file_in_two_parts_is_the_same(spark, files, inputs):
     assert tables.read_properties(spark, [None, None]) is None
 
 
+def test_index_is_saved_reused_and_answers_one_item(spark, inputs, tmp_path):
+    params = dataclasses.replace(SMALL, neighbor_search="index")
+    model = Trainer(spark, str(tmp_path), params).fit(*inputs)
+    again = Trainer(spark, str(tmp_path), params)
+    again.fit(*inputs)
+    assert {"index_nodes", "index_entries", "index_homes"} <= set(again.store.reused)
+    loaded = load_model(spark, str(tmp_path))
+    items = loaded.tables["item_index"].select("item_id")
+    exact = Model(SMALL, {k: v for k, v in model.tables.items() if not k.startswith("index_")}, model.summary)
+    assert loaded.summary["index"]["recall"] >= 0.95
+    wanted = rows(exact.item_neighbors(items, 3).select("item_id", "neighbor_id", "rank"))
+    assert rows(loaded.item_neighbors(items, 3).select("item_id", "neighbor_id", "rank")) == wanted
+    assert rows(loaded.get_item_neighbors(1, 3).select("item_id", "neighbor_id", "rank")) == [w for w in wanted if w[0] == 1]
+
+
+def test_two_writers_lose_no_commit(spark, tmp_path):
+    """The second writer looked before the first one wrote: its numbers are taken, so it goes on to the next."""
+    first, second = ArtifactStore(spark, str(tmp_path)), ArtifactStore(spark, str(tmp_path))
+    second._numbers = lambda name: []
+    assert [first.write_record("part", {"by": 1, "n": n}) for n in range(3)] == [1, 2, 3]
+    assert second.write_record("part", {"by": 2}) == 4 and first.write_record("part", {"by": 1, "n": 3}) == 5
+    assert second.write_record("part", {"by": 2}) == 6
+    assert [first._entry("part", n)["by"] for n in range(1, 7)] == [1, 1, 1, 2, 1, 2] and first.read_record("part") == {"by": 2}
+
+
+def test_a_writer_that_dies_leaves_the_last_state(spark, tmp_path):
+    store = ArtifactStore(spark, str(tmp_path))
+    first = store.save("part", spark.range(3), "one")
+    (tmp_path / "part.log" / "000000000002.json").write_text('{"fingerprint": "half')
+    spark.range(9).write.parquet(str(tmp_path / "part" / "unfinished"))
+    assert store.read_record("part")["fingerprint"] == "one" and store.read("part").count() == 3
+    store.save("part", spark.range(5), "two")
+    assert store.read("part").count() == 5 and first.count() == 3  # an open reader keeps its version
+    assert len(store.collect_garbage("part", keep=2)) == 0  # the unfinished one may still be in the writing
+    assert len(store.collect_garbage("part", keep=1, grace_seconds=0)) == 2
+    assert store.read("part").count() == 5 and len(store._names("part")) == 1
+
+
 def test_saved_model_answers_like_the_trained_one(spark, inputs, trained):
     folder, model = trained
     loaded = load_model(spark, folder)

@@ -83,6 +83,14 @@ def stage_table(df: DataFrame, label: str, schema: StructType | None = None, par
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+def stage_csv(df: DataFrame, label: str) -> str:
+    """Write ``df`` as header CSV files to the shared folder; returns their folder."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    _STAGED.append(path)
+    return path
+
+
 #: Staged tables of this driver that still exist.
 _STAGED: list[str] = []
 
