@@ -57,7 +57,7 @@ WITH RECURSIVE state(k, tok, best) AS (
     SELECT k, tok, best FROM moved LEFT JOIN ranked ON word = k // {STRIDE}))
 SELECT k // {STRIDE} AS word, tok FROM state WHERE best IS NULL ORDER BY k
 """
-DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS body, count(piece) AS known, count(*) AS n FROM given LEFT JOIN vocab USING (id) GROUP BY doc"
+DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS body FROM given JOIN vocab USING (id) GROUP BY doc"
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -88,6 +88,12 @@ class Coder:
         self._keep("merges", pair=pa.array(pair, pa.int64()), merged=pa.array(merged, pa.int32()))
         # a byte is shown as the character of its number, so that pieces can be joined as text
         self._keep("vocab", id=pa.array(self.ranks.values(), pa.int32()), piece=pa.array([t.decode("latin-1") for t in self.ranks], pa.string()))
+        # stretches of ids and their bytes, in two generations like the words
+        self.bodies: dict[bytes, bytes] = {}
+        self.older_bodies: dict[bytes, bytes] = {}
+        self.known, self.spaced = (np.zeros(max(self.ranks.values()) + 1, bool) for _ in range(2))
+        for token, rank in self.ranks.items():
+            self.known[rank], self.spaced[rank] = True, token[:1] == b" "
         self.first = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
     def _keep(self, name, **columns):
@@ -183,18 +189,38 @@ class Coder:
         return [b"".join(map(self.cache.__getitem__, cut)) for cut in cuts]
 
     def decode(self, lists: list[bytes]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        ids = [np.frombuffer(x or b"", "<u4") for x in lists]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        """Bytes of each list of ids. Lists are cut before each id whose bytes begin with a space; bytes of met stretches are kept."""
+        if len(self.bodies) > CACHE_WORDS:
+            self.older_bodies, self.bodies = self.bodies, {}
+        cuts = []
+        for raw in lists:
+            ids = np.frombuffer(raw or b"", "<u4")
+            if len(ids) and (ids.max() >= len(self.known) or not self.known[ids].all()):
+                raise ValueError("an id is not in the vocabulary")
+            at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+            if at[:1] != [0]:
+                at.insert(0, 0)
+            cuts.append([raw[x:y] for x, y in zip(at, [*at[1:], 4 * len(ids)], strict=True)] if len(ids) else [])
+        new = []
+        for stretch in set(chain.from_iterable(cuts)).difference(self.bodies):
+            if stretch in self.older_bodies:
+                self.bodies[stretch] = self.older_bodies[stretch]
+            else:
+                new.append(stretch)
+        self.bodies.update(zip(new, self._joined(new), strict=True))
+        return [b"".join(map(self.bodies.__getitem__, cut)) for cut in cuts]
+
+    def _joined(self, lists: list[bytes]) -> list[bytes]:
+        """The same by an ordered aggregation over (list, position, id) rows joined with the vocabulary."""
+        sizes = np.array([len(x) // 4 for x in lists], np.int64)
         out = [b""] * len(lists)
-        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        flat = np.frombuffer(b"".join(lists), "<u4")
+        doc = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
         self.db.register("given", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int64), "id": flat.astype(np.int32)}))
-        for n, body, known, count in self.db.execute(DECODE).fetchall():
-            if known != count:
-                raise ValueError("an id is not in the vocabulary")
-            out[n] = body.encode("latin-1")
+        got = self.db.execute(DECODE).fetchnumpy()
         self.db.unregister("given")
+        for n, body in zip(got["doc"].tolist(), got["body"].tolist(), strict=True):
+            out[n] = body.encode("latin-1")
         return out
 
 
