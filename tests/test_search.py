@@ -121,3 +121,42 @@ def test_sparse_rows_need_positive_only(spark):
     frame = _frames(spark, sparse_matrix(10, 8), list(range(10)), True)
     with pytest.raises(ValueError):
         near.best_matches(frame.withColumnRenamed("item", "key"), frame, 3, TERMS)
+
+
+def test_candidates_move_once_where_one_block_holds_the_requests(spark, monkeypatch):
+    monkeypatch.setattr(near, "_BLOCK_BYTES", 10)
+    matrix, ids = sparse_matrix(120, 9), list(range(120))
+    frame = _frames(spark, matrix, ids, False)
+    asked = frame.where("item % 10 = 0").withColumnRenamed("item", "key")
+    found = near.best_matches(asked, frame, 4, TERMS, drop_self=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[part#" in plan and "[block#" not in plan
+    assert rows(found.select("key", "item", "rank")) == [r for r in brute(matrix, ids, 4, positive=False) if r[0] % 10 == 0]
+
+
+def test_full_lists_are_compared_and_not_ranked(monkeypatch):
+    matrix = np.random.default_rng(10).standard_normal((6000, 8))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix[5500:] = matrix[:500]  # copies that tie with listed ones, and lower ids that win
+    ids = np.random.default_rng(11).permutation(6000)
+    search = sr.DenseSearch(pa.array(ids[:300]), as_lists(matrix[:300]), 8, 3, digits=6, drop_self=True, positive_only=False)
+    search.meet(pa.array(ids[:3000]), as_lists(matrix[:3000]))
+    monkeypatch.setattr(sr.np, "argpartition", None)
+    search.meet(pa.array(ids[3000:]), as_lists(matrix[3000:]))
+    best = search.best()
+    scores = np.round(matrix[:300] @ matrix.T, 6)
+    scores[np.arange(300), np.arange(300)] = -2
+    wanted = [(ids[i], ids[j], k + 1) for i in range(300) for k, j in enumerate(np.lexsort((ids, -scores[i]))[:3])]
+    assert sorted(zip(*(best.column(c).to_pylist() for c in ("key", "item", "rank")))) == sorted(wanted)
+
+
+def test_many_equal_documents_offer_a_list_only(monkeypatch):
+    copies = as_structs(np.tile(np.eye(1, TERMS), (3000, 1)))
+    ids = np.random.default_rng(12).permutation(3000)
+    search = sr.SparseSearch(pa.array([-1, -2]), copies[:2], TERMS, 4, digits=6, drop_self=True, positive_only=True)
+    sizes, merge = [], search._merge
+    monkeypatch.setattr(search, "_merge", lambda items, r, c, s: (sizes.append(len(r)), merge(items, r, c, s)))
+    for at in range(0, 3000, 1000):
+        search.offer(pa.array(ids[at : at + 1000]), copies[:1000])
+    best = search.best()
+    assert sizes == [8] and best.column("item").to_pylist() == [0, 1, 2, 3] * 2
