@@ -90,3 +90,16 @@ def test_empty_vocabulary_gives_no_vectors(spark):
     terms = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, term string")
     vectors, sigma = textvec.svd_item_vectors(terms, textvec.vocabulary(textvec.term_counts(terms), 2))
     assert vectors.count() == 0 and len(sigma) == 0
+
+
+def test_items_are_dealt_before_they_become_tokens(spark, tmp_path):
+    """One task reads the file; none may count the tokens of all items, and the counts need no second shuffle."""
+    from tidepool.sources import fixtures as fx
+
+    parts = spark.range(40).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "int(id) AS p_size", "concat('n', id % 3) AS p_name")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    counts = textvec.term_counts(textvec.item_tokens(fx.part_properties(spark, str(tmp_path))))
+    lines = counts._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(shuffles) == 1 and all(i < shuffles[0] for i, line in enumerate(lines) if "Generate" in line or "Aggregate" in line)
+    assert counts.count() == 7 * 40
