@@ -1,6 +1,7 @@
 import dataclasses
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,23 @@ def test_shared_folder_comes_from_the_session(spark):
     if configured:
         assert configured.rstrip("/") in shared_folder(spark)
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_loss_sends_vectors_per_block_and_not_per_cell(spark, monkeypatch):
+    """Several blocks and parts, a user with two vectors, ids without a vector or null: the sums are those of the joins."""
+    draw = np.random.default_rng(20)
+    monkeypatch.setattr(fac, "_BLOCK_BYTES", 200)
+    users = [(u, draw.standard_normal(4).tolist()) for u in [*range(30), 3]]
+    items = [(i, draw.standard_normal(4).tolist()) for i in range(20)]
+    cells = [(u, i, float(1 + (u * i) % 5)) for u in range(33) for i in range(22) if (u + i) % 3] + [(None, 1, 2.0), (1, None, 2.0)]
+    x, y = (spark.createDataFrame(v, f"{k} long, vec array<double>") for v, k in ((users, "user_id"), (items, "item_id")))
+    found = fac.als_training_loss(spark.createDataFrame(cells, "user_id long, item_id long, weight double"), x, y, 0.5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    gram = lambda rows: np.array([v for _, v in rows]).T @ np.array([v for _, v in rows])
+    fit, n = float((gram(users) * gram(items)).sum()), 0
+    for u, i, w in cells:
+        for s in [np.dot(v, t) for k, v in users if k == u for j, t in items if j == i]:
+            fit, n = fit + (1 + w) * (1 - s) ** 2 - s**2, n + 1
+    squares = sum(np.dot(v, v) for rows_, at in ((users, 0), (items, 1)) for k, v in rows_ for c in cells if c[at] == k)
+    got = found.first()
+    assert got.n_cells == n and got.fit == pytest.approx(fit, rel=1e-9) and got.penalty == pytest.approx(0.5 * squares, rel=1e-9)
