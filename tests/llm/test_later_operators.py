@@ -279,3 +279,20 @@ def test_forms_lead_to_the_last_word(spark):  # noqa: F811
 def test_spelling_of_no_rows(spark):  # noqa: F811
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert spelling.variants(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect() == []
+
+
+def test_bpe_decodes_from_one_ordered_column():
+    """The pieces come in the order of their positions in one buffer: no text is put together by an ordered aggregation."""
+    import base64
+
+    from tidepool.llm import bpe
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", "é".encode(), b"\x00\xff"]
+    own = bpe.Coder(b"\n".join(base64.b64encode(t) + f" {i}".encode() for i, t in enumerate(tokens)), r"\S+|\s+")
+    lists = [[256, 257, 258, 0, 255], [], [65] * 3000, None, [257]]
+    packed = [None if x is None else np.array(x, "<u4").tobytes() for x in lists]
+    assert own.decode(packed) == [b"".join(tokens[i] for i in x or []) for x in lists]
+    assert own.decode([]) == [] and own.decode([b"", None]) == [b"", b""]
+    with pytest.raises(ValueError):
+        own.decode([np.array([70_000], "<u4").tobytes()])
+    assert "string_agg" not in bpe.DECODE

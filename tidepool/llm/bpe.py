@@ -3,7 +3,7 @@
 A task cuts its texts at the pattern, gathers the words it has not met yet, and contracts them together: rows (word
 position, token) join the merge table with their right neighbour, each word's leftmost pair of least rank becomes one
 token, and the recursion ends when no word has a pair left. Ids of met words are kept in a bounded cache. Decoding joins
-(text, position, id) rows with the token bytes and puts them together by an ordered aggregation.
+(position, id) rows with the token bytes in the order of the positions; the column's own buffer is then the text.
 
 Words longer than ``LONG_BYTES`` would need as many rounds as they have merges; they take the same merges from a heap
 instead. The files of ranks are read by Spark on the driver (under 2 MB) and travel with the tasks.
@@ -57,7 +57,7 @@ WITH RECURSIVE state(k, tok, best) AS (
     SELECT k, tok, best FROM moved LEFT JOIN ranked ON word = k // {STRIDE}))
 SELECT k // {STRIDE} AS word, tok FROM state WHERE best IS NULL ORDER BY k
 """
-DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS body, count(piece) AS known, count(*) AS n FROM given LEFT JOIN vocab USING (id) GROUP BY doc"
+DECODE = "SELECT piece FROM given LEFT JOIN vocab USING (id) ORDER BY pos"
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -186,16 +186,19 @@ class Coder:
         """Bytes of each list of ids."""
         ids = [np.frombuffer(x or b"", "<u4") for x in lists]
         sizes = np.array([len(x) for x in ids], np.int64)
-        out = [b""] * len(lists)
         flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        self.db.register("given", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int64), "id": flat.astype(np.int32)}))
-        for n, body, known, count in self.db.execute(DECODE).fetchall():
-            if known != count:
-                raise ValueError("an id is not in the vocabulary")
-            out[n] = body.encode("latin-1")
+        self.db.register("given", pa.table({"pos": np.arange(len(flat), dtype=np.int64), "id": flat.astype(np.int32)}))
+        pieces = self.db.sql(DECODE).to_arrow_table().column("piece").cast(pa.large_string())
         self.db.unregister("given")
-        return out
+        if pieces.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        pieces = pa.concat_arrays(pieces.chunks) if pieces.num_chunks else pa.array([], pa.large_string())
+        # the pieces lie in their order in one buffer; characters below 256 are bytes
+        _, places, buffer = pieces.buffers()
+        places = np.frombuffer(places, np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+        body = buffer.to_pybytes() if buffer is not None else b""
+        ends = places[np.cumsum(sizes)].tolist()
+        return [body[a:b].decode().encode("latin-1") for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
