@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tests.conftest import spark  # noqa: F401
-from tidepool.llm import merkle, queries, spelling, vector_graph
+from tidepool.llm import merkle, queries, spelling, token_files, vector_graph
 
 # --- op11 -------------------------------------------------------------------------------------------
 
@@ -296,3 +297,36 @@ def test_bpe_decodes_from_one_ordered_column():
     with pytest.raises(ValueError):
         own.decode([np.array([70_000], "<u4").tobytes()])
     assert "string_agg" not in bpe.DECODE
+
+
+# --- op6 --------------------------------------------------------------------------------------------
+
+
+def test_only_new_words_reach_the_model_and_odd_cuts_the_whole_tokenizer(monkeypatch):
+    """Plain cuts are cut at the pattern here, a word is encoded once whatever follows it, and a full cache keeps its last generation."""
+    with open(queries.TOKENIZER) as file:
+        definition = file.read()
+    asked, whole = [], Tokenizer.from_str(definition)
+    whole.encode_special_tokens = True
+    own = token_files.Encoder(definition)
+    monkeypatch.setattr(own, "_ids", lambda texts, ids=own._ids: asked.extend(texts) or ids(texts))
+    rng = random.Random(5)
+    signs = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(160, 256))]
+    plain = ["".join(rng.choices(signs + list("aeiouthing '") * 12, k=rng.randint(0, 80))) for _ in range(2000)]
+    plain = [t for t in plain if not token_files.UNEVEN.search(t)] + ["", "Und so, und so.", "it's <|endoftext|>", "a\n\nb \n", "x²½ 3ª"]
+
+    def encoded(texts):
+        return [np.frombuffer(ids, own.dtype).tolist() for ids in own.encode(texts)]
+
+    assert encoded(plain) == [e.ids for e in whole.encode_batch(plain, add_special_tokens=False)]
+    assert not "".join(asked)
+    odd = ["漢字 kanji", "ét ́", "a  b", "\0 x\0", "😀  y", " ſİ"]
+    assert encoded(odd) == [e.ids for e in whole.encode_batch(odd, add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 0)
+    met = []
+    monkeypatch.setattr(own, "_keep", lambda words, *rest, keep=own._keep: met.extend(words) or keep(words, *rest))
+    assert encoded(["zuzu, qqfx", "qqfx. zuzu!", " qqfx; zuzu,"])[1] == whole.encode("qqfx. zuzu!", add_special_tokens=False).ids
+    assert sorted(met) == sorted(set(met)) and {" qqfx", "zuzu"} <= set(met)
+    met.clear()
+    assert encoded(["zuzu, qqfx"]) == [whole.encode("zuzu, qqfx", add_special_tokens=False).ids]
+    assert not met

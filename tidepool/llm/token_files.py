@@ -12,9 +12,11 @@ table gives no shard and an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,31 @@ BATCH_SEQUENCES = 256
 CACHE_WORDS = 400_000
 #: Characters encoded at once.
 GROUP = 1_000_000
-UNEVEN = re.compile(r"\s ")
+#: A space after other white space: there the cut at single spaces would differ from the pattern. The null marks the cuts.
+UNEVEN = re.compile(r"\s |\0")
+#: The pattern at which the library's byte-level step cuts, for texts whose characters every Unicode version classes alike.
+PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r"[\t-\r -~\xa0-\xff]*")
+#: Words in a row that the model is given.
+WORDS = 200
+
+
+def _shown_bytes() -> dict[int, str]:
+    """The character that the byte-level step shows for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+SHOWN = _shown_bytes()
 
 
 class Encoder:
-    """A tokenizer with the ids of words it has met; texts are cut at single spaces, where its pattern always cuts."""
+    """A tokenizer with the ids of words it has met; texts are cut at single spaces, where its pattern always cuts.
+
+    Where the definition has nothing but the byte-level step and the model, new cuts of plain characters are cut at the step's pattern here and only
+    words that are not met yet go to the model, already cut: the library's own cutting takes most of its time. All other cuts go to the whole tokenizer.
+    """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
@@ -46,36 +68,82 @@ class Encoder:
         self.cuts_at_spaces = '"ByteLevel"' in definition and '"use_regex": false' not in definition and '"use_regex":false' not in definition
         size = max(self.tokenizer.get_vocab().values()) + 1
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # a character stands for a byte
+        self.model = Tokenizer(self.tokenizer.model) if self._is_plain(json.loads(definition)) else None
+        # ids of cuts and words; those of the older generation move on when they are met again
         self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        self.older: dict[str, bytes] = {}
+
+    def _is_plain(self, parts: dict) -> bool:
+        step, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+        return (
+            step.get("type") == "ByteLevel" and not step.get("add_prefix_space", True) and step.get("use_regex", True)
+            and model.get("type") == "BPE" and not model.get("dropout") and set(SHOWN.values()) <= model.get("vocab", {}).keys()
+            and not any(model.get(name) for name in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+            and not any(parts.get(name) for name in ("normalizer", "truncation", "padding"))
+            and all(token["special"] for token in parts.get("added_tokens") or [])
+        )
+
+    def _ids(self, texts: list) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of words that were encoded in one go and end at these bytes."""
+        stops = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.dtype.itemsize
+        body, begin = ids.tobytes(), 0
+        for word, stop in zip(words, stops.tolist(), strict=True):
+            self.cache[word] = body[begin:stop]
+            begin = stop
+
+    def _unmet(self, words: set[str]) -> list[str]:
+        """The words without kept ids; those of the older generation move on."""
+        unmet = []
+        for word in words.difference(self.cache):
+            if word in self.older:
+                self.cache[word] = self.older[word]
+            else:
+                unmet.append(word)
+        return unmet
+
     def _learn(self, cuts: list[str]) -> None:
-        """Ids of new cuts: those that begin with a space and end without one go in one text and are told apart by their bytes."""
+        if self.model is not None:
+            plain = [c for c in cuts if PLAIN.fullmatch(c)]
+            self._learn_plain(plain)
+            cuts = [c for c in cuts if c not in self.cache]
+        self._learn_whole(cuts)
+
+    def _learn_plain(self, cuts: list[str]) -> None:
+        """Ids of new cuts of plain characters, from those of their words."""
+        parts = [PATTERN.findall(c) for c in cuts]
+        words = self._unmet(set(chain.from_iterable(parts)))
+        shown = [w.encode().decode("latin-1").translate(SHOWN) for w in words]
+        rows = [shown[at : at + WORDS] for at in range(0, len(shown), WORDS)]
+        ids = [e.ids for e in self.model.encode_batch_fast(rows, is_pretokenized=True, add_special_tokens=False)]
+        if words:
+            self._keep(words, np.array(list(chain.from_iterable(ids)), self.dtype), np.cumsum([len(w) for w in shown]))
+        for cut, some in zip(cuts, parts, strict=True):
+            if len(some) != 1:
+                self.cache[cut] = b"".join([self.cache[w] for w in some])
+
+    def _learn_whole(self, cuts: list[str]) -> None:
+        """Ids of new cuts by the whole tokenizer: those that begin with a space and end without one go in one text and are told apart by their bytes."""
         joint = [c for c in cuts if c[:1] == " " and not c[-1:].isspace()]
         alone = [c for c in cuts if not (c[:1] == " " and not c[-1:].isspace())]
         for cut, ids in zip(alone, self._ids(alone), strict=True):
             self.cache[cut] = ids.tobytes()
         for at in range(0, len(joint), 200):
             some = joint[at : at + 200]
-            ids = self._ids(["".join(some)])[0]
-            ends = np.cumsum([len(c.encode()) for c in some])
-            stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            for cut, a, b in zip(some, [0, *stops[:-1]], stops, strict=True):
-                self.cache[cut] = ids[a:b].tobytes()
+            self._keep(some, self._ids(["".join(some)])[0], np.cumsum([len(c.encode()) for c in some]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts_at_spaces:
             return [ids.tobytes() for ids in self._ids(texts)]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         even = [not UNEVEN.search(t) for t in texts]
-        cuts = [t.split(" ") if e else [] for t, e in zip(texts, even, strict=True)]
-        cuts = [[c[0], *[" " + w for w in c[1:]]] if c else [] for c in cuts]
-        self._learn(list({c for some in cuts for c in some if c not in self.cache}))
+        cuts = [t.replace(" ", "\0 ").split("\0") if e else [] for t, e in zip(texts, even, strict=True)]
+        self._learn(self._unmet(set(chain.from_iterable(cuts))))
         whole = iter(self._ids([t for t, e in zip(texts, even, strict=True) if not e]))
-        return [b"".join([self.cache[c] for c in some]) if e else next(whole).tobytes() for some, e in zip(cuts, even, strict=True)]
+        return [b"".join(map(self.cache.__getitem__, some)) if e else next(whole).tobytes() for some, e in zip(cuts, even, strict=True)]
 
 
 _ENCODERS: dict[int, Encoder] = {}
