@@ -160,3 +160,36 @@ def test_many_equal_documents_offer_a_list_only(monkeypatch):
         search.offer(pa.array(ids[at : at + 1000]), copies[:1000])
     best = search.best()
     assert sizes == [8] and best.column("item").to_pylist() == [0, 1, 2, 3] * 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e9, 1e16])
+def test_full_lists_are_compared_in_single_precision_and_lose_nothing(monkeypatch, scale):
+    """Near ties closer than single precision, hidden pairs and crowded rows; few pairs are multiplied in doubles where it holds."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal((40, 24))
+    items = np.concatenate((rng.standard_normal((9000, 24)), centre[rng.integers(0, 40, 3000)] * (1 + 1e-9 * rng.integers(0, 3, (3000, 1)))))
+    asked = np.concatenate((centre[:20], rng.standard_normal((40, 24))))
+    ids, left, right = rng.permutation(len(items)), asked * scale, items / scale
+    products = []
+    real = sr.DenseSearch._best_of
+    monkeypatch.setattr(sr.DenseSearch, "_best_of", lambda self, a, b, *rest: products.append(a.shape[0] * b.shape[1]) or real(self, a, b, *rest))
+
+    def rows(matrix):
+        return pa.array(matrix.tolist(), pa.list_(pa.float64()))
+
+    search = sr.DenseSearch(pa.array(-1 - np.arange(len(asked))), rows(left), 24, 7, digits=6, drop_self=True, positive_only=False)
+    hidden = rng.integers(0, len(asked), 500), rng.integers(0, len(items), 500)
+    search.hide(pa.array(-1 - hidden[0]), pa.array(ids[hidden[1]]))
+    for start in range(0, len(items), 5000):
+        search.meet(pa.array(ids[start : start + 5000]), rows(right[start : start + 5000]))
+    found = search.best()
+    scores = left @ right.T
+    order = np.rint(scores * 1e6)
+    order[hidden] = -np.inf
+    want = [ids[np.lexsort((ids, -row))[:7]].tolist() for row in order]
+    got = [[] for _ in asked]
+    for key, item in zip(found.column("key").to_pylist(), found.column("item").to_pylist(), strict=True):
+        got[-1 - key].append(item)
+    assert got == want
+    if scale < 1e15:
+        assert sum(products) < 0.5 * scores.size
