@@ -12,11 +12,12 @@ table gives no shard and an empty result.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ CACHE_WORDS = 400_000
 #: Characters encoded at once.
 GROUP = 1_000_000
 #: A space after other white space: there the cut at single spaces would differ from the pattern. The null marks the cuts.
-UNEVEN = re.compile(r"\s |\0")
+UNEVEN = re.compile(r" (?<=\s )|\0")
 #: The pattern at which the library's byte-level step cuts, for texts whose characters every Unicode version classes alike.
 PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t-\r -~\xa0-\xff]*")
@@ -106,8 +107,7 @@ class Encoder:
 
     def _learn(self, cuts: list[str]) -> None:
         if self.model is not None:
-            plain = [c for c in cuts if PLAIN.fullmatch(c)]
-            self._learn_plain(plain)
+            self._learn_plain([c for c in cuts if PLAIN.fullmatch(c)])
             cuts = [c for c in cuts if c not in self.cache]
         self._learn_whole(cuts)
 
@@ -135,15 +135,33 @@ class Encoder:
             self._keep(some, self._ids(["".join(some)])[0], np.cumsum([len(c.encode()) for c in some]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Nothing here makes cycles, so the collector, which would walk the kept words again and again, waits."""
         if not self.cuts_at_spaces:
             return [ids.tobytes() for ids in self._ids(texts)]
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._joined(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
         even = [not UNEVEN.search(t) for t in texts]
-        cuts = [t.replace(" ", "\0 ").split("\0") if e else [] for t, e in zip(texts, even, strict=True)]
-        self._learn(self._unmet(set(chain.from_iterable(cuts))))
+        cuts, ends = [], []
+        for text in compress(texts, even):
+            cuts += text.replace(" ", "\0 ").split("\0")
+            ends.append(len(cuts))
+        found = list(map(self.cache.get, cuts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self._learn(self._unmet({cuts[i] for i in missing}))
+        for i in missing:
+            found[i] = self.cache[cuts[i]]
+        joined = iter([b"".join(found[a:b]) for a, b in zip([0, *ends], ends)])
         whole = iter(self._ids([t for t, e in zip(texts, even, strict=True) if not e]))
-        return [b"".join(map(self.cache.__getitem__, some)) if e else next(whole).tobytes() for some, e in zip(cuts, even, strict=True)]
+        return [next(joined) if e else next(whole).tobytes() for e in even]
 
 
 _ENCODERS: dict[int, Encoder] = {}
