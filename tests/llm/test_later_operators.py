@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -330,3 +331,30 @@ def test_only_new_words_reach_the_model_and_odd_cuts_the_whole_tokenizer(monkeyp
     met.clear()
     assert encoded(["zuzu, qqfx"]) == [whole.encode("zuzu, qqfx", add_special_tokens=False).ids]
     assert not met
+
+
+def test_repeated_words_of_a_group_are_looked_up_once(monkeypatch):
+    """Arrow counts off the distinct words of many texts in three languages and other characters; texts before, between and after odd ones keep their ids."""
+    with open(queries.TOKENIZER) as file:
+        definition = file.read()
+    whole = Tokenizer.from_str(definition)
+    whole.encode_special_tokens = True
+    own, asked = token_files.Encoder(definition), []
+    monkeypatch.setattr(own, "_unmet", lambda words, unmet=own._unmet: asked.extend(words) or unmet(words))
+    rng = random.Random(6)
+    words = ["der", "Größe,", "mañana.", "it's", "(2024)", "x\xa0y", "\ttab", "line\nend", "漢字", "naïve—so", "a\u2009b", "é", "\x85", "12½"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(500)] + ["", " ", "der ", " der", "\n", "der  der", "\0", "\u3000 x"] * 3
+    got = [np.frombuffer(ids, own.dtype).tolist() for ids in own.encode(texts)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) < 100
+
+
+def test_groups_of_texts_span_batches(monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP", 300)
+    rng = random.Random(7)
+    texts = ["x" * rng.choice((0, 5, 90, 700)) for _ in range(60)]
+    rows = [pa.record_batch({"doc_id": pa.array(range(a, b), pa.int64()), "t": texts[a:b], "shard": pa.array([3] * (b - a), pa.int32())}) for a, b in ((0, 1), (1, 1), (1, 20), (20, 22), (22, 60))]
+    groups = list(token_files._groups(rows))
+    assert [t for _, _, some in groups for t in some] == texts and [i for _, ids, _ in groups for i in ids.to_pylist()] == list(range(60))
+    assert all(shard == 3 and (len(some) == 1 or sum(len(t) + token_files.ROW for t in some) <= 300) for shard, _, some in groups)
+    assert max(len(some) for _, _, some in groups) > 2 and not list(token_files._groups([]))

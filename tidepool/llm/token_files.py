@@ -17,10 +17,11 @@ import json
 import re
 import uuid
 import zlib
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,18 @@ LENGTH = 2048
 #: Sequences of a record batch, and words whose ids a task keeps.
 BATCH_SEQUENCES = 256
 CACHE_WORDS = 400_000
-#: Characters encoded at once.
-GROUP = 1_000_000
+#: Characters encoded at once, as distinct cuts are looked up once in a group, and what a row counts for beside its text.
+GROUP = 8_000_000
+ROW = 64
 #: A space after other white space: there the cut at single spaces would differ from the pattern. The null marks the cuts.
 UNEVEN = re.compile(r" (?<=\s )|\0")
+#: The same for Arrow, whose own white space is that of ASCII.
+UNEVEN_LISTED = f"[{''.join(re.findall(r'\s', ''.join(map(chr, range(0x3001)))))}] |\\x00"
 #: The pattern at which the library's byte-level step cuts, for texts whose characters every Unicode version classes alike.
 PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t-\r -~\xa0-\xff]*")
+#: For Arrow: plain cuts that begin with a space and end without white space, so that the pattern cuts between any two of them.
+JOINT = r"\A [\t-\r -~\x{a0}-\x{ff}]*[!-~\x{a1}-\x{ff}]\z"
 #: Words in a row that the model is given.
 WORDS = 200
 
@@ -53,13 +59,32 @@ def _shown_bytes() -> dict[int, str]:
 
 
 SHOWN = _shown_bytes()
+#: The same for words that nulls part.
+SHOWN_PARTED = {b: c for b, c in SHOWN.items() if b}
+
+
+def _binary(parts: list[bytes]) -> pa.Array:
+    return _sliced(np.cumsum([0, *map(len, parts)], dtype=np.int64), b"".join(parts))
+
+
+def _sliced(stops: np.ndarray, body: bytes) -> pa.Array:
+    """The stretches of ``body`` between the stops."""
+    return pa.Array.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(np.ascontiguousarray(stops)), pa.py_buffer(body)])
+
+
+def _laid(parts: pa.Array, order) -> tuple[np.ndarray, memoryview]:
+    """Byte strings in the order of their places, one behind the other, and where each begins and ends."""
+    laid = parts.take(pa.array(order))
+    _, stops, body = laid.buffers()
+    return np.frombuffer(stops, np.int64, len(laid) + 1), memoryview(body or b"")
 
 
 class Encoder:
     """A tokenizer with the ids of words it has met; texts are cut at single spaces, where its pattern always cuts.
 
-    Where the definition has nothing but the byte-level step and the model, new cuts of plain characters are cut at the step's pattern here and only
+    Where the definition has nothing but the byte-level step and the model, cuts of plain characters are cut at the step's pattern here and only
     words that are not met yet go to the model, already cut: the library's own cutting takes most of its time. All other cuts go to the whole tokenizer.
+    Arrow cuts the texts, finds the distinct cuts and puts the ids in order, so only distinct words and cuts of other characters are looked up.
     """
 
     def __init__(self, definition: str):
@@ -70,7 +95,7 @@ class Encoder:
         size = max(self.tokenizer.get_vocab().values()) + 1
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # a character stands for a byte
         self.model = Tokenizer(self.tokenizer.model) if self._is_plain(json.loads(definition)) else None
-        # ids of cuts and words; those of the older generation move on when they are met again
+        # ids of words, and of cuts of other characters; those of the older generation move on when they are met again
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -89,40 +114,25 @@ class Encoder:
 
     def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         """Ids of words that were encoded in one go and end at these bytes."""
-        stops = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.dtype.itemsize
-        body, begin = ids.tobytes(), 0
-        for word, stop in zip(words, stops.tolist(), strict=True):
-            self.cache[word] = body[begin:stop]
-            begin = stop
+        stops = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.dtype.itemsize).tolist()
+        body = ids.tobytes()
+        self.cache.update(zip(words, [body[a:b] for a, b in zip([0, *stops], stops)], strict=True))
 
     def _unmet(self, words: set[str]) -> list[str]:
         """The words without kept ids; those of the older generation move on."""
-        unmet = []
-        for word in words.difference(self.cache):
-            if word in self.older:
-                self.cache[word] = self.older[word]
-            else:
-                unmet.append(word)
-        return unmet
-
-    def _learn(self, cuts: list[str]) -> None:
-        if self.model is not None:
-            self._learn_plain([c for c in cuts if PLAIN.fullmatch(c)])
-            cuts = [c for c in cuts if c not in self.cache]
-        self._learn_whole(cuts)
-
-    def _learn_plain(self, cuts: list[str]) -> None:
-        """Ids of new cuts of plain characters, from those of their words."""
-        parts = [PATTERN.findall(c) for c in cuts]
-        words = self._unmet(set(chain.from_iterable(parts)))
-        shown = [w.encode().decode("latin-1").translate(SHOWN) for w in words]
+        unmet = words.difference(self.cache)
+        moved = unmet.intersection(self.older)
+        self.cache.update(zip(moved, map(self.older.__getitem__, moved)))
+        return list(unmet - moved)
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Ids of new words of plain characters."""
+        if not words:
+            return
+        shown = "\0".join(words).encode().decode("latin-1").translate(SHOWN_PARTED).split("\0")
         rows = [shown[at : at + WORDS] for at in range(0, len(shown), WORDS)]
         ids = [e.ids for e in self.model.encode_batch_fast(rows, is_pretokenized=True, add_special_tokens=False)]
-        if words:
-            self._keep(words, np.array(list(chain.from_iterable(ids)), self.dtype), np.cumsum([len(w) for w in shown]))
-        for cut, some in zip(cuts, parts, strict=True):
-            if len(some) != 1:
-                self.cache[cut] = b"".join([self.cache[w] for w in some])
+        self._keep(words, np.array(list(chain.from_iterable(ids)), self.dtype), np.cumsum(list(map(len, shown))))
 
     def _learn_whole(self, cuts: list[str]) -> None:
         """Ids of new cuts by the whole tokenizer: those that begin with a space and end without one go in one text and are told apart by their bytes."""
@@ -149,19 +159,53 @@ class Encoder:
     def _joined(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        even = [not UNEVEN.search(t) for t in texts]
-        cuts, ends = [], []
-        for text in compress(texts, even):
-            cuts += text.replace(" ", "\0 ").split("\0")
-            ends.append(len(cuts))
-        found = list(map(self.cache.get, cuts))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        self._learn(self._unmet({cuts[i] for i in missing}))
-        for i in missing:
-            found[i] = self.cache[cuts[i]]
-        joined = iter([b"".join(found[a:b]) for a, b in zip([0, *ends], ends)])
-        whole = iter(self._ids([t for t, e in zip(texts, even, strict=True) if not e]))
-        return [next(joined) if e else next(whole).tobytes() for e in even]
+        column = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, UNEVEN_LISTED)
+        joined = iter(self._cut(column.filter(pc.invert(uneven))))
+        whole = iter(self._ids(column.filter(uneven).to_pylist()))
+        return [next(whole).tobytes() if u else next(joined) for u in uneven.to_pylist()]
+
+    def _cut(self, column: pa.Array) -> list[bytes]:
+        """Ids of texts that are cut at single spaces."""
+        if not len(column):
+            return []
+        cuts = pc.split_pattern(pc.replace_substring(column, " ", "\0 "), "\0")
+        coded = cuts.flatten().dictionary_encode()
+        ids, place = self._of_cuts(coded.dictionary)
+        stops, body = _laid(ids, place[coded.indices.to_numpy()])
+        stops = stops[cuts.offsets.to_numpy()].tolist()
+        return [bytes(body[a:b]) for a, b in zip(stops, stops[1:])]
+
+    def _of_cuts(self, cuts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct cuts in some order, and the place of each cut there."""
+        joint = np.zeros(len(cuts), bool) if self.model is None else pc.match_substring_regex(cuts, JOINT).to_numpy(zero_copy_only=False)
+        others = cuts.filter(pa.array(~joint)).to_pylist()
+        plain = np.array([self.model is not None and PLAIN.fullmatch(c) is not None for c in others], bool)
+        alone, odd = ([c for c, p in zip(others, plain.tolist(), strict=True) if p == kind] for kind in (True, False))
+        place, rest = np.empty(len(cuts), np.int64), np.flatnonzero(~joint)
+        place[np.concatenate((np.flatnonzero(joint), rest[plain], rest[~plain]))] = np.arange(len(cuts))
+        some = cuts.filter(pa.array(joint))
+        sizes = np.concatenate((pc.utf8_length(some).to_numpy(), np.array([len(c) for c in alone], np.int64)))
+        stops, body = self._of_words("".join(some.to_numpy(zero_copy_only=False)), alone, np.cumsum(sizes))
+        self._learn_whole(self._unmet(set(odd)))
+        found = [self.cache[c] for c in odd]
+        stops = np.concatenate((stops, stops[-1] + np.cumsum(list(map(len, found)), dtype=np.int64)))
+        return _sliced(stops, b"".join((body, *found))), place
+
+    def _of_words(self, text: str, alone: list[str], ends: np.ndarray) -> tuple[np.ndarray, memoryview]:
+        """Ids of plain cuts, one behind the other, and where each begins and ends: those that make up ``text``, then those that stand alone.
+
+        A cut is as many words in a row as have its characters; ``ends`` counts the characters up to its end.
+        """
+        words = PATTERN.findall(text)
+        words.extend(chain.from_iterable(map(PATTERN.findall, alone)))
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn_plain(self._unmet(set(words)))
+        stops, body = _laid(_binary(list(map(self.cache.__getitem__, words))), coded.indices)
+        sizes = pc.utf8_length(coded.dictionary).to_numpy()[coded.indices.to_numpy()]
+        at = np.searchsorted(np.concatenate(([0], np.cumsum(sizes))), ends)
+        return stops[np.concatenate(([0], at))], body
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -227,6 +271,23 @@ class _SequenceFile:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def _groups(batches):
+    """(shard, doc ids, texts) of rows in a row with at most ``GROUP`` characters, or of one row."""
+    ids, texts, size, shard = [], [], 0, None
+    for batch in batches:
+        column, here, begin = batch.column(0), batch.column(1).to_pylist(), 0
+        for at, text in enumerate(here):
+            if size and size + len(text) + ROW > GROUP:
+                yield batch.column(2)[0].as_py(), pa.concat_arrays([*ids, column.slice(begin, at - begin)]), texts + here[begin:at]
+                ids, texts, size, begin = [], [], 0, at
+            size += len(text) + ROW
+        shard = batch.column(2)[0].as_py() if here else shard
+        ids.append(column.slice(begin))
+        texts += here[begin:]
+    if texts:
+        yield shard, pa.concat_arrays(ids), texts
+
+
 def write_shards(docs: DataFrame, definition: str, end_id: int, folder: str, length: int = LENGTH, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the shards; returns the table (shard, first_id, path, n_tokens, n_docs) of those that the job has finished."""
     spark = docs.sparkSession
@@ -239,31 +300,21 @@ def write_shards(docs: DataFrame, definition: str, end_id: int, folder: str, len
     def write(batches):
         own, path, out = encoder(sent.value), f"{folder}/{uuid.uuid4().hex}", None
         end = np.array([end_id], own.dtype).tobytes()
-        first, shard, start, places = None, None, 0, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        first, shard, start = None, None, 0
+        for shard, ids_here, texts in _groups(batches):
             if out is None:
                 out = _SequenceFile(f"{path}.seq.arrow", own.dtype, length)
                 system, inner = _open(f"{path}.idx.arrow")
                 index_sink = system.open_output_stream(inner)
                 index = pa.ipc.new_file(index_sink, INDEX)
-                first, shard = batch.column(0)[0].as_py(), batch.column(2)[0].as_py()
-            texts = batch.column(1).to_pylist()
-            places, at = [], 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= GROUP):
-                    size += len(texts[stop])
-                    stop += 1
-                for ids in own.encode(texts[at:stop]):
-                    out.add(ids + end)
-                    count = len(ids) // own.dtype.itemsize + 1
-                    places.append((start, count))
-                    start += count
-                at = stop
-            starts, counts = zip(*places, strict=True)
-            index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=INDEX))
+                first = ids_here[0].as_py()
+            counts = []
+            for ids in own.encode(texts):
+                out.add(ids + end)
+                counts.append(len(ids) // own.dtype.itemsize + 1)
+            stops = start + np.cumsum(counts)
+            index.write_batch(pa.RecordBatch.from_arrays([ids_here, pa.array(stops - counts, pa.int64()), pa.array(counts, pa.int64())], schema=INDEX))
+            start = int(stops[-1])
         if out is not None:
             out.close()
             index.close()
