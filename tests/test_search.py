@@ -193,3 +193,32 @@ def test_full_lists_are_compared_in_single_precision_and_lose_nothing(monkeypatc
     assert got == want
     if scale < 1e15:
         assert sum(products) < 0.5 * scores.size
+
+
+def categorical(n, seed):
+    """Rows of one term of each of five kinds, as a catalogue has: every posting list is long, and none holds a list's members alone."""
+    draw = np.random.default_rng(seed)
+    matrix, begin = np.zeros((n, TERMS)), 0
+    for kinds, weight in ((25, 6.0), (6, 3.6), (50, 3.9), (8, 2.1), (8, 2.2)):
+        matrix[np.arange(n), begin + draw.integers(0, kinds, n)] = weight * (1 + 0.2 * draw.random(n))
+        begin += kinds
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("step", [5000, 900])
+def test_documents_that_lack_too_much_are_not_multiplied(step):
+    matrix, ids = categorical(5000, 13), np.random.default_rng(14).permutation(5000)
+    vectors = as_structs(matrix)
+    search = sr.SparseSearch(pa.array(ids[:100]), vectors[:100], TERMS, 6, digits=6, drop_self=True, positive_only=True)
+    hidden = [(i, (i * 7 + j) % 5000) for i in range(50) for j in range(40)]
+    search.hide(pa.array([ids[i] for i, _ in hidden]), pa.array([ids[j] for _, j in hidden]))
+    for at in range(0, 5000, step):
+        search.meet(pa.array(ids[at : at + step]), vectors[at : at + step])
+    best = search.best()
+    order = np.rint(matrix[:100] @ matrix.T * 1e6)
+    order[np.arange(100), np.arange(100)] = 0
+    for i, j in hidden:
+        order[i, j] = 0
+    wanted = [(ids[i], ids[j], k + 1) for i in range(100) for k, j in enumerate(np.lexsort((ids, -order[i]))[:6])]
+    assert list(zip(*(best.column(c).to_pylist() for c in ("key", "item", "rank")))) == wanted
+    assert search.work < 100 * 5000 * 0.1
