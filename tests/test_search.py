@@ -222,3 +222,26 @@ def test_documents_that_lack_too_much_are_not_multiplied(step):
     wanted = [(ids[i], ids[j], k + 1) for i in range(100) for k, j in enumerate(np.lexsort((ids, -order[i]))[:6])]
     assert list(zip(*(best.column(c).to_pylist() for c in ("key", "item", "rank")))) == wanted
     assert search.work < 100 * 5000 * 0.1
+
+
+def test_bounded_requests_pass_parts_by_and_lose_nothing(spark, monkeypatch):
+    """Copies, a null id, an empty row and requests with fewer neighbours than a list holds."""
+    matrix = categorical(400, 15)
+    matrix[100:150] = matrix[7]
+    matrix[[3, 4]] = 0
+    matrix[3, TERMS - 1] = 1
+    frame = _frames(spark, matrix, [None, *range(1, 400)], True)
+    asked = frame.where("item is null or item % 9 < 4").withColumnRenamed("item", "key")
+    lists = []
+    for n in (4, 120):
+        for way in ("candidates", "requests"):
+            monkeypatch.setattr(near, "_BLOCK_BYTES", 10**6 if way == "candidates" else 25_000)
+            monkeypatch.setattr(near, "_FEW_REQUESTS", 0)
+            found = near.best_matches(asked, frame, n, TERMS, drop_self=True, positive_only=True)
+            assert ("spot" in found._jdf.queryExecution().toString()) == (way == "requests")
+            lists.append(sorted(rows(found.selectExpr("coalesce(key, -1)", "coalesce(item, -1)", "rank", "round(score, 9)"))))
+    assert lists[0] == lists[1] and lists[2] == lists[3] and len(lists[0]) > 600
+    search = sr.SparseSearch(pa.array([1]), as_structs(matrix[:1]), TERMS, 4, digits=6, drop_self=True, positive_only=True)
+    search.bound(pa.array([0.99]))
+    search.meet(pa.array(range(200)), as_structs(np.where(matrix[:1] > 0, 0, matrix[200:])))
+    assert search.work == 0 and search.best() is None
