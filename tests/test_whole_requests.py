@@ -43,6 +43,7 @@ def folder(tmp_path_factory):
 
 @pytest.mark.parametrize("name", [
     "recommend_fixed_factors",
+    "similar_fixed_factors",
 ])
 def test_every_id_is_answered_as_in_sql(spark, folder, name):
     import duckdb
