@@ -44,6 +44,7 @@ def folder(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "recommend_fixed_factors",
     "similar_fixed_factors",
+    "knn_approx_recall",
 ])
 def test_every_id_is_answered_as_in_sql(spark, folder, name):
     import duckdb
