@@ -45,6 +45,7 @@ def folder(tmp_path_factory):
     "recommend_fixed_factors",
     "similar_fixed_factors",
     "knn_approx_recall",
+    "knn_tfidf",
 ])
 def test_every_id_is_answered_as_in_sql(spark, folder, name):
     import duckdb
