@@ -46,6 +46,7 @@ def folder(tmp_path_factory):
     "similar_fixed_factors",
     "knn_approx_recall",
     "knn_tfidf",
+    "recommend_content",
 ])
 def test_every_id_is_answered_as_in_sql(spark, folder, name):
     import duckdb
