@@ -47,6 +47,7 @@ def folder(tmp_path_factory):
     "knn_approx_recall",
     "knn_tfidf",
     "recommend_content",
+    "similar_items_content",
 ])
 def test_every_id_is_answered_as_in_sql(spark, folder, name):
     import duckdb
