@@ -49,6 +49,7 @@ def folder(tmp_path_factory):
     "recommend_content",
     "similar_items_content",
     "recommend_hybrid_fixed",
+    "similar_items_hybrid_fixed",
 ])
 def test_every_id_is_answered_as_in_sql(spark, folder, name):
     import duckdb
