@@ -67,3 +67,12 @@ def test_every_id_is_answered_as_in_sql(spark, folder, name):
         assert {r.user_id for r in found} == set(range(1, 15))
     else:
         assert {r.item_id for r in found} == set(range(1, 25))
+
+
+@pytest.mark.parametrize("name", ["recommend_cf"])
+def test_every_id_is_answered_by_trained_factors(spark, folder, name):
+    found = contract.queries()[name](spark, folder).collect()
+    if name.startswith("recommend"):
+        assert {r.user_id for r in found} <= set(range(1, 15)) and len({r.user_id for r in found}) >= 13
+    else:
+        assert {r.item_id for r in found} == set(range(1, 25))
