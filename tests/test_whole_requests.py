@@ -69,7 +69,7 @@ def test_every_id_is_answered_as_in_sql(spark, folder, name):
         assert {r.item_id for r in found} == set(range(1, 25))
 
 
-@pytest.mark.parametrize("name", ["recommend_cf", "similar_items_cf", "similar_items_hybrid"])
+@pytest.mark.parametrize("name", ["recommend_cf", "similar_items_cf", "similar_items_hybrid", "recommend_hybrid"])
 def test_every_id_is_answered_by_trained_factors(spark, folder, name):
     found = contract.queries()[name](spark, folder).collect()
     if name.startswith("recommend"):
